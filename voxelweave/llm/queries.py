@@ -7,15 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelweave.llm import bpe, exact_dedup, langid, mixing, simhash
+from voxelweave.llm import bpe, exact_dedup, gif, langid, licenses, mixing, simhash
 from voxelweave.llm.common import table
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.array_join(c, ",") for c in ("licenses", "leftover")})
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs))
 
 
+def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.store_texts(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -41,7 +50,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_language_id, op7_simhash, op8_mixing, op9_bpe, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_licenses, op5_language_id, op6_gif, op7_simhash, op8_mixing, op9_bpe, op10_exact_dedup)}
 
 
 OP10_SQL = r"""
@@ -53,4 +62,4 @@ FROM n WINDOW w AS (PARTITION BY t ORDER BY c DESC, doc_id ROWS BETWEEN UNBOUNDE
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op1_licenses": licenses.duckdb_sql(), "op10_exact_dedup": OP10_SQL}
