@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelweave.llm import bpe, exact_dedup, gif, langid, licenses, mixing, simhash
+from voxelweave.llm import bpe, exact_dedup, gif, langid, licenses, mixing, simhash, substring_dedup
 from voxelweave.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.array_join(c, ",") for c in ("licenses", "leftover")})
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.fit(docs))
@@ -50,7 +54,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_licenses, op5_language_id, op6_gif, op7_simhash, op8_mixing, op9_bpe, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_licenses, op4_substring_dedup, op5_language_id, op6_gif, op7_simhash, op8_mixing, op9_bpe, op10_exact_dedup)}
 
 
 OP10_SQL = r"""
