@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelweave.llm import bpe, exact_dedup, gif, langid, licenses, mixing, simhash, substring_dedup
+from voxelweave.llm import bpe, exact_dedup, gif, html_extract, langid, licenses, mixing, simhash, substring_dedup, toxicity
 from voxelweave.llm.common import table
 
 
@@ -16,6 +16,16 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.array_join(c, ",") for c in ("licenses", "leftover")})
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -54,7 +64,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_licenses, op4_substring_dedup, op5_language_id, op6_gif, op7_simhash, op8_mixing, op9_bpe, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_licenses, op2_html, op3_toxicity, op4_substring_dedup, op5_language_id, op6_gif, op7_simhash, op8_mixing, op9_bpe, op10_exact_dedup)}
 
 
 OP10_SQL = r"""
