@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
-The examples are an id-hash sample of the labelled rows that aren't held out, ``EXAMPLES`` at most in expectation. Terms
-are words that occur in toxic examples significantly more often than in others (signed root of the likelihood ratio of
+Terms are words and their leading letters. The examples are an id-hash sample of the labelled rows that aren't held out, ``EXAMPLES`` at most in expectation. Terms
+are chosen that occur in toxic examples significantly more often than in others (signed root of the likelihood ratio of
 ``least_z`` or more); their document frequencies are counted over all documents. Examples are ordered so that similar ones share a
 block of 64; each term has its largest weight in each block, so a block whose bound is below the k-th similarity found
 so far is passed over. Votes of the k nearest, weighted by squared similarity, are mapped to probabilities by isotonic
@@ -26,6 +26,12 @@ from voxelweave.llm.common import hash_fraction, slices, train_rows
 
 EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 6000, 4000, 25, 64
 RUN = re.compile(r"[^\W\d_]+")
+#: A word also counts as its first letters, so that inflected and compounded forms share a term.
+STEMS = (4, 5, 6)
+
+
+def forms(word: str) -> list[str]:
+    return [word, *(word[:n] + "-" for n in STEMS if len(word) > n)]
 
 
 class Terms:
@@ -38,7 +44,7 @@ class Terms:
     def miss(self, token: str) -> tuple[int, ...]:
         if len(self.seen) > self.room:
             self.seen.clear()
-        found = self.seen[token] = tuple(k for w in RUN.findall(token) if (k := self.vocabulary.get(w)) is not None)
+        found = self.seen[token] = tuple(k for w in RUN.findall(token) for x in forms(w) if (k := self.vocabulary.get(x)) is not None)
         return found
 
     def counts(self, text: str | None) -> dict[int, int]:
@@ -66,7 +72,7 @@ def word_presence(batches):
 
     for b in slices(batches):
         for toxic, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-            seen.update((toxic, w) for w in set(RUN.findall((text or "").lower())) if len(w) < 100)
+            seen.update((toxic, x) for x in {x for w in set(RUN.findall((text or "").lower())) if len(w) < 100 for x in forms(w)})
         if len(seen) > 200_000:
             yield from flush()
     yield from flush()
