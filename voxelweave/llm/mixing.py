@@ -104,3 +104,16 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     taken = pieces.select("n", "block", "doc_id", "size", "copy", words.alias("words")).join(slots, ["n", "block"]).groupBy("n", "doc_id", "size", "copy").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     out = rows.alias("r").join(taken.alias("t"), F.col("r.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("r.n") == F.col("t.n")) & (F.col("r.size") == F.col("t.size")) & (F.col("r.copy") == F.col("t.copy")), "left")
     return out.select("r.doc_id", "r.size", "r.source_size", "r.target", F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
+    """df's rows as often as the mix takes them: taken / size, rounded; df's own columns.
+
+    Blocks cut the stream between two documents at its end alone, so all but one document of each source and round are
+    taken as a whole or not at all, and rounding moves a source's words by about one document.
+    """
+    taken = mix(df, id_col, text_col, source_col, **settings)
+    times = taken.where("size > 0").groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size")).agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("__times")).where("__times > 0")
+    rows = df.withColumn("__words", sizes(df, text_col))
+    joined = rows.join(times, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*df.columns)

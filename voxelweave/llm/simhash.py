@@ -1,9 +1,11 @@
 """SimHash near-dedup with pigeonring filtering.
 
-Fingerprints of 64 bits link at ``tau`` = 3 or fewer differing bits. Cut into m = 4 ring-ordered segments, a linked pair
-has a segment from which, for every l, l consecutive segments differ in l * tau / m bits at most: 0, 1, 2, 3. The first
-two budgets make a candidate key: segment i is equal, and of segment i + 1 (one differing bit at most) one half is
-equal. Pairs that share a key pass the chain's budgets one after another before the full Hamming check.
+Fingerprints of 64 bits link at ``tau`` or fewer differing bits. Cut into m = tau + 1 ring-ordered segments, a linked
+pair has a segment from which, for every l, l consecutive segments differ in l * tau / m bits at most: 0, 1, 2, ... The
+first budgets make the candidate keys: segment i is equal, and the rest of a chain of L segments differs in L - 1 bits at
+most, so of any b equal blocks of that rest at least b - L + 1 are equal. One key for each i and choice of blocks; for
+tau = 3: L = 2, b = 2, eight keys of 24 bits; for tau = 7: L = 4, b = 6, 160 keys of 20 bits. Pairs that share a key pass
+the chain's budgets one after another before the full Hamming check.
 
 A key's fingerprints are compared in one kernel call by vectorised passes; the call returns one link from each to the
 smallest of its local component, never all pairs. Keys with more than ``block`` fingerprints are split: each pair of
@@ -16,6 +18,9 @@ component_id is the smallest non-null id reachable (null if there is none); an e
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,7 +29,9 @@ from pyspark.sql import functions as F
 
 from voxelweave.llm.common import materialise, slices
 
-SEED, TAU, SEGMENTS, WIDTH, BLOCK = 42, 3, 4, 16, 4096
+SEED, TAU, BLOCK = 42, 3, 4096
+#: tau -> segments of the chain whose budgets make the keys, blocks of its rest.
+CHAINS = {3: (2, 2), 7: (4, 6)}
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -61,17 +68,32 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def keys(fps: DataFrame) -> DataFrame:
-    """fp, key: eight rows for each fingerprint, natively."""
-    fp = F.col("fp")
-    segment = lambda i: F.shiftrightunsigned(fp, 48 - WIDTH * i).bitwiseAND(F.lit(0xFFFF))
+def keys(fps: DataFrame, tau: int = TAU) -> DataFrame:
+    """fp, key: the candidate keys of each fingerprint, natively. A key's upper part is its kind, start * kinds + choice."""
+    (chain, blocks), segments = CHAINS[tau], tau + 1
+    width = 64 // segments
+    block = (chain - 1) * width // blocks
+    chosen = list(combinations(range(blocks), blocks - chain + 1))
+    bits = width + (blocks - chain + 1) * block
+    fp, ring = F.col("fp"), F.col("ring")
+    turns = [F.shiftleft(fp, i * width).bitwiseOR(F.shiftrightunsigned(fp, 64 - i * width)) if i else fp for i in range(segments)]
+    part = lambda first, size: F.shiftrightunsigned(ring, 64 - first - size).bitwiseAND(F.lit((1 << size) - 1))
     made = []
-    for i in range(SEGMENTS):
-        following = segment((i + 1) % SEGMENTS)
-        for j in range(2):
-            half = F.shiftrightunsigned(following, 8 - 8 * j).bitwiseAND(F.lit(0xFF))
-            made.append(F.lit((2 * i + j) << 24).cast("long").bitwiseOR(F.shiftleft(segment(i), 8)).bitwiseOR(half))
-    return fps.select("fp", F.explode(F.array(*made)).alias("key"))
+    for j, choice in enumerate(chosen):
+        key = F.shiftleft(F.col("start").cast("long") * len(chosen) + j, bits).bitwiseOR(F.shiftleft(part(0, width), bits - width))
+        for k, c in enumerate(choice):
+            key = key.bitwiseOR(F.shiftleft(part(width + c * block, block), bits - width - (k + 1) * block))
+        made.append(key)
+    turned = fps.select("fp", F.posexplode(F.array(*turns)).alias("start", "ring"))
+    return turned.select("fp", F.explode(F.array(*made)).alias("key")) if len(made) > 1 else turned.select("fp", made[0].alias("key"))
+
+
+def start_of(key: np.ndarray, tau: int) -> np.ndarray:
+    """The segment at which a key's chain starts."""
+    chain, blocks = CHAINS[tau]
+    width = 64 // (tau + 1)
+    bits = width + (blocks - chain + 1) * ((chain - 1) * width // blocks)
+    return (key >> bits) // math.comb(blocks, chain - 1)
 
 
 def units(keyed: DataFrame, block: int) -> DataFrame:
@@ -83,18 +105,17 @@ def units(keyed: DataFrame, block: int) -> DataFrame:
     return many.select("fp", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"))
 
 
-def rotated(x: np.ndarray, i: np.ndarray) -> np.ndarray:
-    s = (i * WIDTH).astype(np.uint64)
-    return (x << s) | (x >> ((np.uint64(64) - s) & np.uint64(63)))
-
-
 def chain_links(x: np.ndarray, start: np.ndarray, tau: int = TAU) -> np.ndarray:
     """Which differences x pass the chain from segment ``start``, budget by budget, and the full check at its end."""
-    turned = rotated(x, start)
-    ok = np.ones(len(x), bool)
-    for length in range(1, SEGMENTS + 1):
-        budget = length * tau // SEGMENTS
-        ok[ok] = np.bitwise_count(turned[ok] >> np.uint64(64 - WIDTH * length)) <= budget
+    segments = tau + 1
+    width = 64 // segments
+    by = (start * width).astype(np.uint64)
+    turned = (x << by) | (x >> ((np.uint64(64) - by) & np.uint64(63)))
+    at = np.arange(len(x))
+    for length in range(1, segments + 1):
+        at = at[np.bitwise_count(turned[at] >> np.uint64(64 - width * length)) <= length * tau // segments]
+    ok = np.zeros(len(x), bool)
+    ok[at] = True
     return ok
 
 
@@ -129,7 +150,7 @@ def unit_roots(fp: np.ndarray, unit: np.ndarray, start: np.ndarray, side: np.nda
         gap += 1
 
 
-def kernel(batches):
+def kernel(batches, tau: int):
     """Sorted units in; (u, v) links, v the first of u's local component. A unit is never split between calls."""
     held: list[pa.RecordBatch] = []
 
@@ -138,7 +159,7 @@ def kernel(batches):
         key, a, b = (table.column(c).to_numpy() for c in ("key", "a", "b"))
         new = np.ones(len(fp), bool)
         new[1:] = (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        root = unit_roots(fp, np.cumsum(new), key >> 25, table.column("side").to_numpy(), a != b)
+        root = unit_roots(fp, np.cumsum(new), start_of(key, tau), table.column("side").to_numpy(), a != b, tau)
         moved = np.flatnonzero(root != np.arange(len(fp)))
         signed = fp.view(np.int64)
         if len(moved):
@@ -164,10 +185,10 @@ def kernel(batches):
             yield from links(table)
 
 
-def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
+def links(fps: DataFrame, block: int = BLOCK, tau: int = TAU) -> DataFrame:
     """u, v (u != v): links whose components are those of all pairs within tau. fps: different values of fp."""
-    calls = units(keys(fps), block).repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
-    return calls.mapInArrow(kernel, "u long, v long").distinct()
+    calls = units(keys(fps, tau), block).repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+    return calls.mapInArrow(lambda batches: kernel(batches, tau), "u long, v long").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -204,12 +225,18 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, block: int = BLOCK) -> DataFrame:
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, block: int = BLOCK, tau: int = TAU) -> DataFrame:
     """doc_id, fp, component_id: one row for each input row."""
     prints = materialise(fingerprints(df, id_col, text_col, width), "fingerprints")
     by_fp = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    labels = components(links(by_fp.select("fp"), block))
+    labels = components(links(by_fp.select("fp"), block, tau))
     named = by_fp.join(labels, by_fp["fp"] == labels["node"], "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
     owners = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     named = named.join(owners, "label").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, tau: int = 7) -> DataFrame:
+    """The rows of df without those whose component has a smaller id; df's own columns. Rows without an id stay."""
+    gone = near_dedup(df, id_col, text_col, width, tau=tau).where("doc_id > component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return df.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
