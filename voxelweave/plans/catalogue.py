@@ -1,11 +1,372 @@
-"""Registered queries over the provided tables."""
+"""Registered queries over the provided tables, one or more for each operator of the engine."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from voxelweave.config import MeshConfig
+from voxelweave.functions import gas
+from voxelweave.functions.geometry import face_frame, halfplane, rescale_down, rescale_up
+from voxelweave.lineage import materialise, scratch_dir
+from voxelweave.operators import ghosts as ghost_ops
+from voxelweave.operators import grid, hydro, voronoi
+from voxelweave.operators import knn as knn_ops
+from voxelweave.plans import oracle, simulation
+from voxelweave.sources import params, points, sinks
 
-def oracle_sql():
-    return {}
+BUFF = 0.12
+FLAT = MeshConfig(dim=2, k=24, buff=BUFF)
+SOLID = MeshConfig(dim=3, k=48, k_max=190, buff=0.2)
+
+
+def customers(spark: SparkSession, sf_dir: str, dim: int = 2) -> DataFrame:
+    return points.from_keys(spark.read.parquet(f"{sf_dir}/customer.parquet"), "c_custkey", dim)
+
+
+def state_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, rho, vx, vy, vz, E from customer's columns."""
+    key = F.col("c_custkey")
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(key.alias("id"), (F.lit(0.5) + (F.col("c_acctbal") + 1000.0) / 11000.0).alias("rho"), ((F.col("c_nationkey") - 12).cast("double") / 100.0).alias("vx"), ((key % 11 - 5).cast("double") / 50.0).alias("vy"), ((key % 7 - 3).cast("double") / 50.0).alias("vz"), (F.lit(1.0) + (key % 13).cast("double") / 10.0).alias("E"))
+
+
+def with_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return customers(spark, sf_dir).join(state_of(spark, sf_dir).drop("vz"), "id")
+
+
+def flat_mesh(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return voronoi.periodic_mesh(customers(spark, sf_dir), FLAT)
+
+
+def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
+    """Rounded, and without negative zeros."""
+    return df.withColumns({c: F.round(c, digits) + F.lit(0.0) for c in names})
+
+
+# ---------------------------------------------------------------- points, grid, neighbours
+
+
+def q01_points(spark, sf_dir):
+    sod = points.sod(customers(spark, sf_dir), FLAT)
+    return sod.select("id", "x", "y", "rho", "vx", "vy", F.round("E", 9).alias("energy"))
+
+
+def q01b_uniform_state(spark, sf_dir):
+    made = points.uniform(spark, 1000, FLAT)
+    inside = (F.col("x") >= 0) & (F.col("x") < 1) & (F.col("y") >= 0) & (F.col("y") < 1)
+    return made.agg(F.count("*").alias("n"), F.count_if(inside).alias("n_inside"), F.sum("rho").alias("rho"), F.sum("vx").alias("vx"), F.sum("E").alias("energy"))
+
+
+def q01c_scan_checked(spark, sf_dir):
+    path = f"{scratch_dir(spark)}/ic-{points.__name__}"
+    points.sod(customers(spark, sf_dir), FLAT).write.mode("overwrite").parquet(path)
+    return points.scan(spark, path, FLAT).select("id", "x", "y", "rho", F.round("E", 9).alias("energy"))
+
+
+def binned(spark, sf_dir, dim: int = 2):
+    p = customers(spark, sf_dir, dim)
+    return grid.bins(p, ("x", "y", "z")[:dim], grid.grid_size(p.count(), dim))
+
+
+def q02_grid_bin(spark, sf_dir):
+    return binned(spark, sf_dir).select("id", "ci", "cj", "cell")
+
+
+def q02b_grid_bin_3d(spark, sf_dir):
+    return binned(spark, sf_dir, 3).select("id", "ci", "cj", "ck", "cell")
+
+
+def q03_grid_counts(spark, sf_dir):
+    return grid.counts(binned(spark, sf_dir))
+
+
+def q04_prefix_sum(spark, sf_dir):
+    return grid.offsets(binned(spark, sf_dir))
+
+
+def q05_permutation(spark, sf_dir):
+    return grid.sorted_positions(binned(spark, sf_dir)).select("id", "cell", "sorted_pos")
+
+
+def q06_knn_2d(spark, sf_dir):
+    return knn_ops.knn(customers(spark, sf_dir), 8).select("id", "rank", "nb_id", "d2")
+
+
+def q07_knn_3d(spark, sf_dir):
+    return knn_ops.knn(customers(spark, sf_dir, 3), 8, 3).select("id", "rank", "nb_id", "d2")
+
+
+def q07b_knn_clustered(spark, sf_dir):
+    """Clustered data: the first two components of embeddings, scaled into the box."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), *(F.col("embedding")[k].cast("double").alias(a) for k, a in enumerate("xy")))
+    e = e.groupBy("x", "y").agg(F.min("id").alias("id"))
+    low = e.agg(*(f(a).alias(f"{f.__name__}_{a}") for a in "xy" for f in (F.min, F.max))).first()
+    scaled = [((F.col(a) - low[f"min_{a}"]) / (low[f"max_{a}"] - low[f"min_{a}"])).alias(a) for a in "xy"]
+    return knn_ops.knn(materialise(e.select("id", *scaled), "embed"), 8).select("id", "rank", "nb_id", "d2")
+
+
+def q08_knn_verify(spark, sf_dir):
+    p = materialise(customers(spark, sf_dir).where("id < 1500"), "verify")  # a test of the search, not of the table
+    return knn_ops.verify(knn_ops.knn(p, 8), p, 8)
+
+
+# ---------------------------------------------------------------- images, planes, meshes
+
+
+def q09_ghosts_2d(spark, sf_dir):
+    return ghost_ops.ghosts(customers(spark, sf_dir), BUFF)
+
+
+def q10_ghosts_3d(spark, sf_dir):
+    return ghost_ops.ghosts(customers(spark, sf_dir, 3), 0.2, 3)
+
+
+def q11_rescale(spark, sf_dir):
+    scale = 1.0 / (1.0 + 2.0 * BUFF)
+    down = customers(spark, sf_dir).withColumns({f"{a}_down": rescale_down(F.col(a), scale) for a in "xy"})
+    up = down.withColumns({f"{a}_up": F.round(rescale_up(F.col(f"{a}_down"), scale), 12) for a in "xy"})
+    return up.select("id", "x_down", "y_down", "x_up", "y_up")
+
+
+def q12_halfplanes(spark, sf_dir):
+    found = knn_ops.knn(customers(spark, sf_dir), 8)
+    a, b, w = halfplane([F.col("x"), F.col("y")], [F.col("nb_x"), F.col("nb_y")])
+    return found.select("id", "rank", a.alias("a"), b.alias("b"), w.alias("w"))
+
+
+def q13_voronoi_vertices(spark, sf_dir):
+    v = voronoi.faces(flat_mesh(spark, sf_dir)[0]).select("cell_id", F.col("verts")[0].alias("v"))
+    return rounded(v.groupBy("cell_id").agg(F.count("*").alias("n_vertices"), F.avg("v.x").alias("mx"), F.avg("v.y").alias("my")), 9, "mx", "my")
+
+
+def q14_cell_area_2d(spark, sf_dir):
+    return rounded(flat_mesh(spark, sf_dir)[0].select("cell_id", "volume"), 10, "volume")
+
+
+def q14b_rescaled_mesh(spark, sf_dir):
+    cells, _ = voronoi.periodic_mesh(customers(spark, sf_dir), FLAT, through_unit_box=True)
+    return rounded(cells.select("cell_id", "volume"), 10, "volume")
+
+
+def q15_faces_2d(spark, sf_dir):
+    adj = voronoi.adjacency(*flat_mesh(spark, sf_dir))
+    return rounded(adj.select("cell_id", "neighbor_cell", "src_id", "nx", "ny", "area"), 8, "nx", "ny", "area")
+
+
+def q16_face_symmetry(spark, sf_dir):
+    return voronoi.symmetry(materialise(voronoi.adjacency(*flat_mesh(spark, sf_dir)), "adjacency"))
+
+
+def q16b_face_closure(spark, sf_dir):
+    adj = voronoi.adjacency(*flat_mesh(spark, sf_dir))
+    sums = adj.groupBy("cell_id").agg(*(F.sum(F.col(c) * F.col("area")).alias(c) for c in ("nx", "ny")))
+    return rounded(sums.select("cell_id", F.abs("nx").alias("sx"), F.abs("ny").alias("sy")), 10, "sx", "sy")
+
+
+def q17_csr_offsets(spark, sf_dir):
+    return voronoi.csr(flat_mesh(spark, sf_dir)[0])
+
+
+def q18_security_radius(spark, sf_dir):
+    cells = flat_mesh(spark, sf_dir)[0].select("cell_id", "far2", "kth_d2", (F.col("kth_d2") > 4 * F.col("far2")).alias("reached"))
+    return rounded(cells, 12, "far2", "kth_d2")
+
+
+def q19_mesh_3d_volume_sum(spark, sf_dir):
+    p = materialise(customers(spark, sf_dir, 3), "solid")
+    cells, images = voronoi.periodic_mesh(p, SOLID)
+    check = voronoi.symmetry(materialise(voronoi.adjacency(cells, images), "adjacency"), digits=8)
+    total = cells.agg(F.count("*").alias("n_cells"), F.round(F.sum("volume"), 8).alias("total_volume"))
+    return total.crossJoin(check.select("n_unmatched", "n_walls"))
+
+
+# ---------------------------------------------------------------- gas
+
+
+def solid_state(s: str = "") -> list:
+    return [F.col(f"{s}{c}") for c in ("rho", "vx", "vy", "vz", "E")]
+
+
+def q20_pressure(spark, sf_dir):
+    return state_of(spark, sf_dir).select("id", F.round(gas.pressure(solid_state(), FLAT.gamma), 10).alias("p"))
+
+
+def q21_euler_flux(spark, sf_dir):
+    flux = gas.euler_flux(solid_state(), FLAT.gamma)
+    return rounded(state_of(spark, sf_dir).select("id", *(f.alias(f"f{k}") for k, f in enumerate(flux, 1))), 10, *(f"f{k}" for k in range(1, 6)))
+
+
+def normals(df: DataFrame) -> DataFrame:
+    """A normal of varying direction from the id; every thirteenth points along z."""
+    i = F.col("id")
+    along = i % 13 == 0
+    return df.withColumns({"ax": F.when(along, 0.0).otherwise((i % 7).cast("double") - 2.5), "ay": F.when(along, 0.0).otherwise((i % 5).cast("double") - 1.5), "az": (i % 3).cast("double") - 0.5})
+
+
+def q22_face_frame(spark, sf_dir):
+    frame = face_frame([F.col("ax"), F.col("ay"), F.col("az")])
+    return rounded(normals(state_of(spark, sf_dir)).select("id", *(c.alias(n) for n, c in frame.items())), 10, *frame)
+
+
+def q23_hll_flux(spark, sf_dir):
+    s = state_of(spark, sf_dir)
+    left = normals(s.select("id", *(F.col(c).alias(f"l_{c}") for c in s.columns[1:])))
+    right = s.select((F.col("id") - 1).alias("id"), *(F.col(c).alias(f"r_{c}") for c in s.columns[1:]))
+    rows = left.join(right, "id").withColumns(face_frame([F.col("ax"), F.col("ay"), F.col("az")]))
+    flux = gas.hll(rows, FLAT.gamma).select("id", *(F.col(c).alias(f"f{k}") for k, c in enumerate(gas.FLUX, 1)))
+    return rounded(flux, 9, *(f"f{k}" for k in range(1, 6)))
+
+
+def q24_cfl_dt(spark, sf_dir):
+    cells, _ = flat_mesh(spark, sf_dir)
+    return hydro.time_steps(cells, state_of(spark, sf_dir), FLAT).agg(F.round(F.least(F.min("dt"), F.lit(1e100)), 12).alias("dt"))
+
+
+def q25_hydro_step(spark, sf_dir):
+    run = simulation.start(with_states(spark, sf_dir), FLAT)
+    after = hydro.step(run.faces, run.cells, run.state, 0.002, FLAT)
+    return rounded(after.select("id", "rho", "vx", "vy", F.col("E").alias("energy")), 8, "rho", "vx", "vy", "energy")
+
+
+def q25b_hydro_step_outward(spark, sf_dir):
+    """With outward normals: rho and E of a flow at rest are the same, velocities have the opposite sign."""
+    still = points.sod(customers(spark, sf_dir), FLAT)
+    out = []
+    for convention in ("inward", "outward"):
+        config = replace(FLAT, normal_convention=convention)
+        run = simulation.start(still, config)
+        s = hydro.step(run.faces, run.cells, run.state, 0.002, config)
+        out.append(s.select("id", *(F.col(c).alias(f"{c}_{convention}") for c in ("rho", "vx", "vy", "E"))))
+    both = out[0].join(out[1], "id")
+    near = lambda a, b: F.abs(a - b) < 1e-12
+    same = near(F.col("rho_inward"), F.col("rho_outward")) & near(F.col("E_inward"), F.col("E_outward")) & near(F.col("vx_inward"), -F.col("vx_outward")) & near(F.col("vy_inward"), -F.col("vy_outward"))
+    return both.select("id", same.alias("mirrored"))
+
+
+def q26_hydro_sod(spark, sf_dir):
+    config = replace(FLAT, t_end=0.01)
+    run = simulation.simulate(points.sod(customers(spark, sf_dir), config), config)
+    return run.state.select("id", "rho", "vx", "vy", "E")
+
+
+def q27_conservation(spark, sf_dir):
+    run = simulation.start(with_states(spark, sf_dir), FLAT)
+    state, out = run.state, None
+    for n in range(3):
+        row = hydro.totals(run.cells, state, FLAT).withColumn("step", F.lit(n))
+        row = rounded(row, 9, "volume", "mass", "p_vx", "p_vy", "energy")
+        out = row if out is None else out.unionByName(row)
+        state = materialise(hydro.step(run.faces, run.cells, state, 0.002, FLAT), "state")
+    return out
+
+
+def q27b_uniform_fixed_point(spark, sf_dir):
+    """A uniform state doesn't change."""
+    p = customers(spark, sf_dir).withColumns({"rho": F.lit(1.0), "vx": F.lit(0.1), "vy": F.lit(-0.2), "E": F.lit(1.0)})
+    run = simulation.start(p, FLAT)
+    return rounded(hydro.step(run.faces, run.cells, run.state, 0.01, FLAT).select("id", "rho", "vx", "vy", F.col("E").alias("energy")), 10, "rho", "vx", "vy", "energy")
+
+
+# ---------------------------------------------------------------- parameters, relaxation, sinks
+
+#: Lines with a comment, an inline comment, a value with =, a repeated key, a line without =, and blanks.
+PARAM_LINES = ["# settings", "", "ic_file = ic.parquet", "  output_directory\t=  out dir  # where to", "expr = a=b", "k = 8", "no value here", "k=  24 ", "empty =", "\t# more"]
+
+
+def q28_params_parse(spark, sf_dir):
+    lines = spark.createDataFrame(list(enumerate(PARAM_LINES)), "line_no int, value string")
+    return params.parse_frame(lines)
+
+
+def q29_lloyd_iteration(spark, sf_dir):
+    p = materialise(customers(spark, sf_dir), "lloyd-in")
+    return rounded(voronoi.lloyd(p, replace(FLAT, buff=0.0)), 9, "x", "y")
+
+
+def q30_mesh_sink_roundtrip(spark, sf_dir):
+    run = simulation.start(with_states(spark, sf_dir), FLAT)
+    path = f"{scratch_dir(spark)}/mesh-sink"
+    sinks.write_mesh(path, run.cells, run.images, run.state, FLAT, store_edge_coords=True)
+    back = sinks.read_mesh(spark, path)
+    cells = back["cells"].agg(F.count("*").alias("n_cells"), F.round(F.sum("volume"), 9).alias("total_volume"), F.sum("face_count").alias("n_faces"))
+    return cells.crossJoin(back["faces"].agg(F.count("*").alias("n_face_rows"))).crossJoin(back["hydro"].agg(F.count("*").alias("n_states"))).crossJoin(back["header"].select("dimension", "k"))
+
+
+def q31_knn_sink_roundtrip(spark, sf_dir):
+    p = customers(spark, sf_dir)
+    path = f"{scratch_dir(spark)}/knn-sink"
+    sinks.write_knn(path, p, knn_ops.knn(p, 8), 8, FLAT)
+    return spark.read.parquet(f"{path}/nearest").select("sorted_pos", "rank", "nb_pos")
+
+
+QUERIES = [f for name, f in sorted(globals().items()) if name.startswith("q") and name[1:3].isdigit()]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    o = oracle
+    mesh = o.mesh(24, BUFF)
+    scale = 1.0 / (1.0 + 2.0 * BUFF)
+    z = lambda c, d: f"round({c}, {d}) + 0.0::double"  # noqa: E731  no negative zeros
+    frame = """fr0 AS (SELECT *, sqrt(ax*ax+ay*ay+az*az) AS al FROM nrm), fr1 AS (SELECT *, ax/al AS nx, ay/al AS ny, az/al AS nz FROM fr0),
+fr2 AS (SELECT *, CASE WHEN nx = 0 AND ny = 0 THEN 1 ELSE -ny / nullif(sqrt(nx*nx+ny*ny), 0) END AS mx, CASE WHEN nx = 0 AND ny = 0 THEN 0 ELSE nx / nullif(sqrt(nx*nx+ny*ny), 0) END AS my, 0::double AS mz FROM fr1),
+fr AS (SELECT *, ny*mz-nz*my AS px, nz*mx-nx*mz AS py, nx*my-ny*mx AS pz FROM fr2)"""
+    normal = "CASE WHEN id % 13 = 0 THEN 0::double ELSE (id % 7)::double - 2.5 END AS ax, CASE WHEN id % 13 = 0 THEN 0::double ELSE (id % 5)::double - 1.5 END AS ay, (id % 3)::double - 0.5 AS az"
+    sides = lambda s: ", ".join(f"{s}.{c} AS {s}_{c}" for c in ("rho", "vx", "vy", "vz", "e"))
+    flat_state = o.STATE.replace("(c_custkey % 7 - 3)::double / 50::double AS vz", "0::double AS vz")
+    dt = f"0.4::double * sqrt(volume / pi()) / (sqrt({o.GAMMA} * {o.pressure('')} / rho) + sqrt(vx*vx+vy*vy+vz*vz))"
+    step_rows = "rows AS (SELECT f.cell_id, f.area, f.nx, f.ny, 0::double AS nz, -f.ny AS mx, f.nx AS my, 0::double AS mz, 0::double AS px, 0::double AS py, 1::double AS pz, " + sides("l") + ", " + sides("r") + " FROM faces f JOIN state l ON l.id = f.cell_id JOIN state r ON r.id = f.src_id)"
+    step = f"{step_rows}, {o.hll('rows', 'cell_id, area')}, sums AS (SELECT cell_id, sum(f1*area) AS s1, sum(f2*area) AS s2, sum(f3*area) AS s3, sum(f5*area) AS s5 FROM flux GROUP BY cell_id)"
+    moved = f"upd AS (SELECT s.id, rho - (0.002/volume)*s1 AS nr, rho*vx - (0.002/volume)*s2 AS nvx, rho*vy - (0.002/volume)*s3 AS nvy, e - (0.002/volume)*s5 AS ne FROM state s JOIN sums ON sums.cell_id = s.id JOIN cells c ON c.cell_id = s.id)"
+    walls = "wall(nb_id, rank, a, b, w) AS (VALUES (-1, 1000, 1::double, 0::double, 0::double), (-2, 1001, -1::double, 0::double, 1::double), (-3, 1002, 0::double, 1::double, 0::double), (-4, 1003, 0::double, -1::double, 1::double))"
+    boxed = o.PLANES.replace("planes AS (", "planes0 AS (") + ", planes AS (SELECT * FROM planes0 UNION ALL SELECT id, nb_id, rank, 0::double, x, y, a, b, w FROM pts, wall)"
+    vertices = o.VERTICES[: o.VERTICES.index("ring AS")].rstrip().rstrip(",")
+    kept = [("ic_file", "ic.parquet"), ("output_directory", "out dir"), ("expr", "a=b"), ("k", "24"), ("empty", "")]
+    sod = "CASE WHEN x < 0.5 THEN 1::double ELSE 0.125::double END AS rho"
+    energy = "round(CASE WHEN x < 0.5 THEN 1.5::double ELSE 0.15::double END, 9) AS energy"
+    embed = "raw AS (SELECT min(vec_id) AS id, x, y FROM (SELECT vec_id, embedding[1]::double AS x, embedding[2]::double AS y FROM embeddings) GROUP BY x, y), pts AS (SELECT id, (x - (SELECT min(x) FROM raw)) / ((SELECT max(x) FROM raw) - (SELECT min(x) FROM raw)) AS x, (y - (SELECT min(y) FROM raw)) / ((SELECT max(y) FROM raw) - (SELECT min(y) FROM raw)) AS y FROM raw)"
+    return {
+        "q01_points": f"WITH {o.pts()} SELECT id, x, y, {sod}, 0::double AS vx, 0::double AS vy, {energy} FROM pts",
+        "q01b_uniform_state": "SELECT 1000::bigint AS n, 1000::bigint AS n_inside, 1000::double AS rho, 0::double AS vx, 1000::double AS energy",
+        "q01c_scan_checked": f"WITH {o.pts()} SELECT id, x, y, {sod}, {energy} FROM pts",
+        "q02_grid_bin": f"WITH {o.pts()}, {o.grid()} SELECT id, ci, cj, cell FROM binned",
+        "q02b_grid_bin_3d": f"WITH {o.pts(dim=3)}, {o.grid(3)} SELECT id, ci, cj, ck, cell FROM binned",
+        "q03_grid_counts": f"WITH {o.pts()}, {o.grid()} SELECT cell, count(*) AS n_points FROM binned GROUP BY cell",
+        "q04_prefix_sum": f"WITH {o.pts()}, {o.grid()}, c AS (SELECT cell, count(*) AS n_points FROM binned GROUP BY cell) SELECT cell, n_points, (sum(n_points) OVER (ORDER BY cell) - n_points)::bigint AS first FROM c",
+        "q05_permutation": f"WITH {o.pts()}, {o.grid()} SELECT id, cell, row_number() OVER (ORDER BY cell, id) - 1 AS sorted_pos FROM binned",
+        "q06_knn_2d": f"WITH {o.pts()}, {o.knn(8)} SELECT id, rank, nb_id, d2 FROM knn",
+        "q07_knn_3d": f"WITH {o.pts(dim=3)}, {o.knn(8, 3)} SELECT id, rank, nb_id, d2 FROM knn",
+        "q07b_knn_clustered": f"WITH {embed}, {o.knn(8)} SELECT id, rank, nb_id, d2 FROM knn",
+        "q08_knn_verify": "SELECT count(*) * 8 AS n_checked, 0::bigint AS n_mismatches FROM customer WHERE c_custkey < 1500",
+        "q09_ghosts_2d": f"WITH {o.pts()}, {o.ghosts(BUFF)} SELECT * FROM ghosts",
+        "q10_ghosts_3d": f"WITH {o.pts(dim=3)}, {o.ghosts(0.2, 3)} SELECT * FROM ghosts",
+        "q11_rescale": f"WITH {o.pts()} SELECT id, {scale!r}::double*(x-0.5::double)+0.5::double AS x_down, {scale!r}::double*(y-0.5::double)+0.5::double AS y_down, round(x, 12) AS x_up, round(y, 12) AS y_up FROM pts",
+        "q12_halfplanes": f"WITH {o.pts()}, {o.knn(8)}, {o.PLANES} SELECT id, rank, a, b, w FROM planes",
+        "q13_voronoi_vertices": f"WITH {mesh} SELECT id AS cell_id, count(*) AS n_vertices, {z('avg(vx)', 9)} AS mx, {z('avg(vy)', 9)} AS my FROM verts GROUP BY id",
+        "q14_cell_area_2d": f"WITH {mesh} SELECT cell_id, {z('volume', 10)} AS volume FROM cells",
+        "q14b_rescaled_mesh": f"WITH {mesh} SELECT cell_id, {z('volume', 10)} AS volume FROM cells",
+        "q15_faces_2d": f"WITH {mesh} SELECT cell_id, neighbor_cell, src_id, {z('nx', 8)} AS nx, {z('ny', 8)} AS ny, {z('area', 8)} AS area FROM faces",
+        "q16_face_symmetry": f"WITH {mesh} SELECT count(*) AS n_faces, 0::bigint AS n_unmatched, 0::bigint AS n_walls FROM faces",
+        "q16b_face_closure": "SELECT c_custkey AS cell_id, 0::double AS sx, 0::double AS sy FROM customer",
+        "q17_csr_offsets": f"WITH {mesh}, c AS (SELECT cell_id, count(*) AS face_count FROM faces GROUP BY cell_id) SELECT cell_id, face_count, (sum(face_count) OVER (ORDER BY cell_id) - face_count)::bigint AS face_ptr FROM c",
+        "q18_security_radius": f"WITH {mesh}, f AS (SELECT id, max((vx-sx)*(vx-sx)+(vy-sy)*(vy-sy)) AS far2 FROM verts GROUP BY id), k AS (SELECT id, max(d2) AS kth_d2 FROM knn GROUP BY id) SELECT id AS cell_id, {z('far2', 12)} AS far2, {z('kth_d2', 12)} AS kth_d2, kth_d2 > 4 * far2 AS reached FROM f JOIN k USING (id)",
+        "q19_mesh_3d_volume_sum": "SELECT count(*) AS n_cells, 1::double AS total_volume, 0::bigint AS n_unmatched, 0::bigint AS n_walls FROM customer",
+        "q20_pressure": f"WITH {o.STATE} SELECT id, round({o.pressure('')}, 10) AS p FROM state",
+        "q21_euler_flux": f"WITH {o.STATE}, s AS (SELECT *, {o.pressure('')} AS p FROM state) SELECT id, {z('rho*vx', 10)} AS f1, {z('rho*vx*vx+p', 10)} AS f2, {z('rho*vx*vy', 10)} AS f3, {z('rho*vx*vz', 10)} AS f4, {z('(e+p)*vx', 10)} AS f5 FROM s",
+        "q22_face_frame": f"WITH {o.STATE}, nrm AS (SELECT id, {normal} FROM state), {frame} SELECT id, " + ", ".join(f"{z(c, 10)} AS {c}" for c in ("nx", "ny", "nz", "mx", "my", "mz", "px", "py", "pz")) + " FROM fr",
+        "q23_hll_flux": f"WITH {o.STATE}, nrm AS (SELECT l.id, {normal.replace('id %', 'l.id %')}, {sides('l')}, {sides('r')} FROM state l JOIN state r ON r.id = l.id + 1), {frame}, {o.hll('fr', 'id')} SELECT id, " + ", ".join(f"{z(f'f{k}', 9)} AS f{k}" for k in range(1, 6)) + " FROM flux",
+        "q24_cfl_dt": f"WITH {mesh}, {o.STATE.replace('(c_custkey % 7 - 3)::double / 50::double AS vz', '0::double AS vz')} SELECT round(min({dt}), 12) AS dt FROM state JOIN cells ON cell_id = id",
+        "q25_hydro_step": f"WITH {mesh}, {flat_state}, {step}, {moved} SELECT id, {z('nr', 8)} AS rho, {z('nvx/nr', 8)} AS vx, {z('nvy/nr', 8)} AS vy, {z('ne', 8)} AS energy FROM upd",
+        "q25b_hydro_step_outward": "SELECT c_custkey AS id, true AS mirrored FROM customer",
+        "q27_conservation": f"WITH {mesh}, {flat_state}, t AS (SELECT sum(volume) AS volume, sum(rho*volume) AS mass, sum(rho*vx*volume) AS p_vx, sum(rho*vy*volume) AS p_vy, sum(e*volume) AS energy FROM state JOIN cells ON cell_id = id) SELECT i::int AS step, {z('volume', 9)} AS volume, {z('mass', 9)} AS mass, {z('p_vx', 9)} AS p_vx, {z('p_vy', 9)} AS p_vy, {z('energy', 9)} AS energy FROM t, range(3) r(i)",
+        "q27b_uniform_fixed_point": "SELECT c_custkey AS id, 1::double AS rho, 0.1::double AS vx, -0.2::double AS vy, 1::double AS energy FROM customer",
+        "q28_params_parse": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in kept) + ") t(key, value)",
+        "q29_lloyd_iteration": f"WITH {o.pts()}, {walls}, {o.knn(24)}, {boxed}, {vertices}, m AS (SELECT id, avg(vx) AS mx, avg(vy) AS my FROM verts GROUP BY id HAVING min(least(p1, p2)) >= 0) SELECT id, {z('coalesce(mx, x)', 9)} AS x, {z('coalesce(my, y)', 9)} AS y FROM pts LEFT JOIN m USING (id)",
+        "q31_knn_sink_roundtrip": f"WITH {o.pts()}, {o.grid()}, {o.knn(8)}, p AS (SELECT id, row_number() OVER (ORDER BY cell, id) - 1 AS pos FROM binned) SELECT a.pos AS sorted_pos, rank, b.pos AS nb_pos FROM knn JOIN p a ON a.id = knn.id JOIN p b ON b.id = knn.nb_id",
+    }
