@@ -52,6 +52,20 @@ def test_knn_equals_brute_force(spark, dim):
     assert got == want
 
 
+@pytest.mark.parametrize("dim", [2, 3])
+def test_knn_in_clumps_equals_brute_force(spark, dim):
+    rng = random.Random(9)
+    rows = scattered(40, dim)
+    rows += [(1000 + i, *(0.3 + rng.gauss(0, 1e-5) for _ in range(dim))) for i in range(150)]
+    rows += [(2000 + i, *(0.3001 + rng.gauss(0, 1e-8) for _ in range(dim))) for i in range(80)]
+    got = {(r["id"], r["rank"]): r["nb_id"] for r in knn.knn(made(spark, rows, dim), 5, dim).collect()}
+    want = {}
+    for i, *a in rows:
+        near = sorted((sum((u - v) * (u - v) for u, v in zip(a, b)), j) for j, *b in rows if j != i)[:5]
+        want |= {(i, k): j for k, (_, j) in enumerate(near)}
+    assert got == want
+
+
 def test_knn_with_fewer_points_than_k_and_with_ties(spark):
     p = made(spark, [(0, 0.1, 0.1), (1, 0.1, 0.1), (2, 0.9, 0.9)])
     rows = knn.knn(p, 5).collect()

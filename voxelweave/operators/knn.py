@@ -1,9 +1,14 @@
 """Exact k nearest neighbours by bucket joins with a certificate.
 
-A point's search visits the buckets of rings 0 to R around its own. Whatever lies further out is at least R bucket sides
+In buckets of ordinary size, a point's search visits the buckets of rings 0 to R around its own. Whatever lies further out is at least R bucket sides
 away, so a point is certified if its k-th neighbour is nearer than that; the others search again with a larger R, until
 the rings cover the grid. Ties go to the smaller id. Candidates meet their points in an equi-join on bucket numbers, and
 the top k is a ranking window that Spark limits before the shuffle's sort.
+
+Points in buckets of more than DENSE points are searched for by levels instead: a bucket's side is halved again and
+again, and each such point takes the finest level whose bucket holds k others. Those lie within the bucket's diagonal,
+which is less than two sides, so two rings of that level hold the k nearest for certain. The pairs of a clump thus grow
+with its points, not with their square.
 """
 
 from __future__ import annotations
@@ -19,6 +24,8 @@ from voxelweave.functions.geometry import dist2
 from voxelweave.lineage import materialise
 from voxelweave.operators import grid
 
+#: Points of a bucket from which it is searched by levels, and how often a side may be halved.
+DENSE, HALVINGS = 64, 24
 UNIT_BALL = {2: math.pi, 3: 4.0 * math.pi / 3.0}
 
 
@@ -43,6 +50,32 @@ def nearest(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < k)
 
 
+def level_buckets(axes: tuple[str, ...], n: int, low: float, side: float) -> list[tuple]:
+    """(index name, column) of the level in column ``level``: the box has n * 2^level buckets a side."""
+    per_side = F.lit(float(n)) * F.pow(F.lit(2.0), F.col("level"))
+    return [(i, F.least(per_side - 1, F.greatest(F.lit(0.0), F.floor((F.col(a) - low) / side * per_side))).cast("long")) for i, a in zip(grid.INDEXES, axes)]
+
+
+def dense_pairs(asked: DataFrame, points: DataFrame, axes: tuple[str, ...], n: int, k: int, low: float, side: float) -> DataFrame:
+    """ring_join's columns for asked points, each by the finest level whose bucket holds k others. asked: in dense buckets."""
+    index = list(grid.INDEXES[: len(axes)])
+    leveled = lambda df: df.withColumns(dict(level_buckets(axes, n, low, side)))
+    every = F.explode(F.sequence(F.lit(0), F.lit(HALVINGS))).alias("level")
+    own = leveled(asked.select("id", *axes, every))
+    # only what lies in a dense bucket can fill a bucket below it
+    full = leveled(points.join(asked.select(*index).distinct(), index, "left_semi").select(*axes, every)).groupBy("level", *index).agg(F.count("*").alias("c")).where(F.col("c") > k).select("level", *index)
+    finest = own.join(full, ["level", *index]).groupBy("id").agg(F.max("level").alias("level"))
+    chosen = materialise(leveled(asked.select("id", *axes).join(finest, "id")), "knn-levels")
+    used = [r["level"] for r in chosen.select("level").distinct().collect()]  # HALVINGS + 1 at most
+    others = leveled(points.select(F.col("id").alias("nb_id"), *axes, F.explode(F.array(*map(F.lit, used or [0]))).alias("level")))
+    spread = chosen
+    for i in index:
+        spread = spread.withColumn(i, F.explode(F.sequence(F.col(i) - 2, F.col(i) + 2)))
+    pairs = spread.join(others.withColumnsRenamed({a: f"nb_{a}" for a in axes}), ["level", *index]).where("id != nb_id")
+    d2 = dist2([F.col(a) for a in axes], [F.col(f"nb_{a}") for a in axes])
+    return pairs.select("id", *axes, "nb_id", *(f"nb_{a}" for a in axes), d2.alias("d2"))
+
+
 def knn(points: DataFrame, k: int, dim: int = 2, asked: DataFrame | None = None, low: float = 0.0, side: float = 1.0) -> DataFrame:
     """id, position, nb_id, nb_ position, d2, rank (from 0), certified. Points may hold more columns; ids are unique.
 
@@ -54,6 +87,12 @@ def knn(points: DataFrame, k: int, dim: int = 2, asked: DataFrame | None = None,
     binned = grid.bins(points, axes, n, low, side)
     open_rows = binned if asked is None else grid.bins(asked, axes, n, low, side)
     ring, done = min(first_ring(k, dim), n), []
+    index = list(grid.INDEXES[:dim])
+    large = materialise(binned.groupBy(*index).agg(F.count("*").alias("c")).where(F.col("c") > max(DENSE, k)).select(*index), "knn-dense")
+    if not large.isEmpty():
+        dense = materialise(open_rows.join(large, index, "left_semi"), "knn-dense-points")
+        done.append(nearest(dense_pairs(dense, binned, axes, n, k, low, side), k).withColumn("certified", F.lit(True)))
+        open_rows = materialise(open_rows.join(large, index, "left_anti"), "knn-open")
     while True:
         found = nearest(ring_join(open_rows, binned, axes, n, ring), k)
         if ring >= n:
