@@ -47,7 +47,9 @@ def ring_join(asked: DataFrame, points: DataFrame, axes: tuple[str, ...], n: int
 
 def nearest(pairs: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("id").orderBy("d2", "nb_id")
-    return pairs.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < k)
+    # the filter stands on row_number itself, so that Spark puts a WindowGroupLimit before the shuffle
+    ranked = pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.withColumn("rank", F.col("rank") - 1)
 
 
 def level_buckets(axes: tuple[str, ...], n: int, low: float, side: float) -> list[tuple]:
