@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxelweave.lineage import materialise, scratch_dir
+
+__all__ = ["SLICE", "WS", "WS_BYTES", "hash_fraction", "materialise", "scratch_dir", "slices", "table", "train_rows", "words"]
+
 #: Characters that separate words: space and U+0009 to U+000D.
 WS = " \t\n\x0b\x0c\r"
 WS_BYTES = WS.encode()
@@ -21,23 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A temporary one is made only where none is configured."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="voxelweave-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet into the shared folder and reads it back."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words(text: str | None) -> list[bytes]:
     """`[^\\x20\\x09-\\x0D]+` as UTF-8: bytes.split() separates at just these six characters."""
     return text.encode("utf-8", "replace").split() if text else []

@@ -1,11 +1,12 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
-Terms are words and their leading letters. The examples are an id-hash sample of the labelled rows that aren't held out, ``EXAMPLES`` at most in expectation. Terms
-are chosen that occur in toxic examples significantly more often than in others (signed root of the likelihood ratio of
-``least_z`` or more); their document frequencies are counted over all documents. Examples are ordered so that similar ones share a
-block of 64; each term has its largest weight in each block, so a block whose bound is below the k-th similarity found
-so far is passed over. Votes of the k nearest, weighted by squared similarity, are mapped to probabilities by isotonic
-regression on leave-one-out votes of the examples themselves; the neighbours are kept as evidence.
+Terms are words and their leading letters. The examples are an id-hash sample of the labelled rows that aren't held
+out, ``EXAMPLES`` at most in expectation. Terms are chosen that occur in toxic examples significantly more often than in
+others (signed root of the likelihood ratio of ``least_z`` or more); their document frequencies are counted over all
+documents. Examples are ordered so that similar ones share a block of 64; each term has its largest weight in each
+block, so a block whose bound is below the k-th similarity found so far is passed over. Votes of the k nearest, weighted
+by squared similarity, are mapped to probabilities by isotonic regression on leave-one-out votes of the examples
+themselves; the neighbours are kept as evidence.
 
 Defined cases: null texts, empty texts and texts without any term have no neighbours and get the smoothed share of toxic
 rows among such examples; without any example the score is 0; an id labelled more than once counts as toxic if one label
