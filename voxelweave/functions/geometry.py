@@ -91,6 +91,23 @@ def meeting_point(p: list[Column], q: list[Column]) -> list[Column]:
     return [(p[1] * q[2] - q[1] * p[2]) / det, (q[0] * p[2] - p[0] * q[2]) / det]
 
 
+def meeting_point3(p: list[Column], q: list[Column], r: list[Column]) -> list[Column]:
+    """Where three planes a x + b y + c z + w = 0 meet, by Cramer's rule; null if they don't in one point."""
+    det = F.nullif(det3([p[:3], q[:3], r[:3]]), F.lit(0.0))
+    swap = lambda k: [[-plane[3] if j == k else plane[j] for j in range(3)] for plane in (p, q, r)]
+    return [det3(swap(k)) / det for k in range(3)]
+
+
+def references_plane(planes: Column, plane) -> Column:
+    """Whether a vertex, given by the array of its planes, lies on this one."""
+    return F.array_contains(planes, plane)
+
+
+def point3(x: Column, y: Column, z: Column | None = None) -> list[Column]:
+    """A point of either dimension as three coordinates; the missing one is 0."""
+    return [x, y, F.lit(0.0) if z is None else F.coalesce(z, F.lit(0.0))]
+
+
 def in_conflict(plane: list[Column], point: list[Column], tolerance: float = 1e-13) -> Column:
     return reduce(lambda a, b: a + b, [c * x for c, x in zip(plane, point)]) + plane[-1] < F.lit(-tolerance)
 

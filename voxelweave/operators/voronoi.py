@@ -72,27 +72,32 @@ def mesh(points: DataFrame, config: MeshConfig, asked: DataFrame | None = None,
     return reduce(DataFrame.unionByName, done)
 
 
-def periodic_mesh(points: DataFrame, config: MeshConfig, through_unit_box: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(cells, ghosts) of the points in the periodic unit box. Cells of images aren't cut: nothing needs them.
+def periodic_mesh(points: DataFrame, config: MeshConfig, through_unit_box: bool = False, cut_images: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(cells, ghosts) of the points in the periodic unit box. Cells of images are cut on
+    request only: nothing here needs them, and those next to the outer box may fail, which their status tells.
 
     through_unit_box scales the extended box into [0, 1] for cutting and back, as some bit patterns depend on it.
     """
     images = materialise(ghosts.ghosts(points, config.buff, config.dim), "ghosts")
     everything = ghosts.extended(points, images, config.dim)
     if not through_unit_box:
-        cells = mesh(everything, config, everything.where("not is_ghost"), -config.buff, 1.0 + config.buff)
-        return check_failed(cells, config), images
+        cells = mesh(everything, config, None if cut_images else everything.where("not is_ghost"), -config.buff, 1.0 + config.buff)
+        return check_failed(cells, config, images if cut_images else None), images
     scale = 1.0 / (1.0 + 2.0 * config.buff)
     small = everything.withColumns({a: rescale_down(F.col(a), scale) for a in config.axes})
-    cells = mesh(small, config, small.where("not is_ghost"))
+    cells = mesh(small, config, None if cut_images else small.where("not is_ghost"))
     d, up = config.dim, 1.0 / scale
     vertex = lambda v: F.struct(*((rescale_up(v[a], scale) if a in config.axes else v[a]).alias(a) for a in ("x", "y", "z")))
     face = lambda f: F.struct(f["face_no"].alias("face_no"), f["neighbor_cell"].alias("neighbor_cell"), f["nx"].alias("nx"), f["ny"].alias("ny"), f["nz"].alias("nz"), (f["area"] * up ** (d - 1)).alias("area"), F.transform(f["verts"], vertex).alias("verts"))
     cells = cells.withColumns({**{f"seed_{a}": rescale_up(F.col(f"seed_{a}"), scale) for a in config.axes}, "volume": F.col("volume") * up**d, "far2": F.col("far2") * up**2, "kth_d2": F.col("kth_d2") * up**2, "faces": F.transform("faces", face)})
-    return check_failed(cells, config), images
+    return check_failed(cells, config, images if cut_images else None), images
 
 
-def check_failed(cells: DataFrame, config: MeshConfig) -> DataFrame:
+def check_failed(cells: DataFrame, config: MeshConfig, images: DataFrame | None = None) -> DataFrame:
+    """Raises, or leaves failed cells out, as the config says. Cells of images don't count."""
+    if images is not None:
+        own = cells.join(images.select(F.col("ghost_id").alias("cell_id")), "cell_id", "left_anti")
+        return check_failed(own, config).unionByName(cells.join(images.select(F.col("ghost_id").alias("cell_id")), "cell_id", "left_semi"))
     if config.on_failed_cell == "skip":
         return cells.where("status = 'success'")
     failed = {r["status"]: r["n"] for r in cells.where("status != 'success'").groupBy("status").agg(F.count("*").alias("n")).collect()}

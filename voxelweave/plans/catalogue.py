@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from voxelweave.config import MeshConfig
 from voxelweave.functions import gas
-from voxelweave.functions.geometry import face_frame, halfplane, rescale_down, rescale_up
+from voxelweave.functions.geometry import dist2, face_frame, halfplane, meeting_point3, rescale_down, rescale_up
 from voxelweave.lineage import materialise, scratch_dir
 from voxelweave.operators import ghosts as ghost_ops
 from voxelweave.operators import grid, hydro, voronoi
@@ -120,6 +120,11 @@ def q09_ghosts_2d(spark, sf_dir):
     return ghost_ops.ghosts(customers(spark, sf_dir), BUFF)
 
 
+def q09b_extended(spark, sf_dir):
+    p = customers(spark, sf_dir)
+    return ghost_ops.extended(p, ghost_ops.ghosts(p, BUFF))
+
+
 def q10_ghosts_3d(spark, sf_dir):
     return ghost_ops.ghosts(customers(spark, sf_dir, 3), 0.2, 3)
 
@@ -302,6 +307,37 @@ def q31_knn_sink_roundtrip(spark, sf_dir):
     return spark.read.parquet(f"{path}/nearest").select("sorted_pos", "rank", "nb_pos")
 
 
+def q32_unpermute(spark, sf_dir):
+    """Neighbours found among sorted positions, turned back into ids."""
+    placed = materialise(grid.sorted_positions(binned(spark, sf_dir)), "placed")
+    found = knn_ops.knn(placed.select(F.col("sorted_pos").alias("id"), "x", "y"), 8)
+    own = grid.unpermuted(found.select("id", "rank", "nb_id"), placed, "id", "nb_id")
+    at = lambda s: customers(spark, sf_dir).select(*(F.col(c).alias(f"{s}{c}") for c in ("id", "x", "y")))
+    both = own.join(at("a_"), F.col("id") == F.col("a_id")).join(at("b_"), F.col("nb_id") == F.col("b_id"))
+    # equally distant neighbours come in the order of positions, so distances are returned, not ids
+    return both.select("id", "rank", dist2([F.col("a_x"), F.col("a_y")], [F.col("b_x"), F.col("b_y")]).alias("d2"))
+
+
+def q33_image_cells(spark, sf_dir):
+    """Cells of images that lie well inside the outer box have their owners' volumes."""
+    cells, images = voronoi.periodic_mesh(customers(spark, sf_dir), FLAT, cut_images=True)
+    inner = images.where("x > -0.05 and x < 1.05 and y > -0.05 and y < 1.05").select(F.col("ghost_id").alias("cell_id"), "orig_id")
+    volume = cells.select("cell_id", "volume")
+    both = volume.join(inner, "cell_id").join(volume.select(F.col("cell_id").alias("orig_id"), F.col("volume").alias("own")), "orig_id")
+    return both.select("orig_id", "cell_id", (F.abs(F.col("volume") - F.col("own")) < 1e-10).alias("same"))
+
+
+def q34_meeting_point_3d(spark, sf_dir):
+    """The vertex of three planes through a known point."""
+    s = normals(state_of(spark, sf_dir))
+    at = [F.col("vx"), F.col("vy"), F.col("vz")]
+    planes = []
+    for a in ((1.0, 0.25, 0.0), (0.0, 1.0, 0.5), (0.125, 0.0, 1.0)):
+        n = [F.lit(x) for x in a]
+        planes.append([*n, -(n[0] * at[0] + n[1] * at[1] + n[2] * at[2])])
+    return rounded(s.select("id", *(c.alias(n) for c, n in zip(meeting_point3(*planes), "xyz"))), 12, "x", "y", "z")
+
+
 QUERIES = [f for name, f in sorted(globals().items()) if name.startswith("q") and name[1:3].isdigit()]
 
 
@@ -345,6 +381,10 @@ fr AS (SELECT *, ny*mz-nz*my AS px, nz*mx-nx*mz AS py, nx*my-ny*mx AS pz FROM fr
         "q07b_knn_clustered": f"WITH {embed}, {o.knn(8)} SELECT id, rank, nb_id, d2 FROM knn",
         "q08_knn_verify": "SELECT count(*) * 8 AS n_checked, 0::bigint AS n_mismatches FROM customer",
         "q09_ghosts_2d": f"WITH {o.pts()}, {o.ghosts(BUFF)} SELECT * FROM ghosts",
+        "q09b_extended": f"WITH {o.pts()}, {o.ghosts(BUFF)} SELECT id, x, y, id >= (SELECT count(*) FROM pts) AS is_ghost, src_id FROM ext",
+        "q32_unpermute": f"WITH {o.pts()}, {o.knn(8)} SELECT id, rank, d2 FROM knn",
+        "q33_image_cells": f"WITH {o.pts()}, {o.ghosts(BUFF)} SELECT orig_id, ghost_id AS cell_id, true AS same FROM ghosts WHERE x > -0.05 AND x < 1.05 AND y > -0.05 AND y < 1.05",
+        "q34_meeting_point_3d": f"WITH {o.STATE} SELECT id, {z('vx', 12)} AS x, {z('vy', 12)} AS y, {z('vz', 12)} AS z FROM state",
         "q10_ghosts_3d": f"WITH {o.pts(dim=3)}, {o.ghosts(0.2, 3)} SELECT * FROM ghosts",
         "q11_rescale": f"WITH {o.pts()} SELECT id, {scale!r}::double*(x-0.5::double)+0.5::double AS x_down, {scale!r}::double*(y-0.5::double)+0.5::double AS y_down, round(x, 12) AS x_up, round(y, 12) AS y_up FROM pts",
         "q12_halfplanes": f"WITH {o.pts()}, {o.knn(8)}, {o.PLANES} SELECT id, rank, a, b, w FROM planes",
