@@ -124,7 +124,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     sample = rows.where(hash_fraction("doc_id", F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))).select("lang", "text")
     counted = sample.mapInArrow(count_words, "lang string, word string, c long").groupBy("lang", "word").agg(F.sum("c").alias("c"))
     counted = counted.persist()
-    most = max(100, entries // (2 * len(per)))
+    most = max(100, min(entries, 8_000_000 // len(per)) // (2 * len(per)))  # each entry has a score for each language
 
     def top(counts: DataFrame, keys: list[str], name: str, n: int) -> list[tuple]:
         best = Window.partitionBy(*keys).orderBy(F.desc("c"), name)
@@ -142,9 +142,9 @@ class Scorer:
     """Scores texts; the vectors of recent tokens are kept, ``room`` of them at most."""
 
     def __init__(self, model: Model, sharp: int = 30, room: int = 150_000):
-        self.model, self.sharp, self.room = model, sharp, room
+        self.model, self.sharp, self.room = model, sharp, min(room, 20_000_000 // (len(model.langs) + 1))
         self.at: dict[str, int] = {}
-        self.table = np.zeros((room, len(model.langs) + 1), np.float32)
+        self.table = np.zeros((self.room, len(model.langs) + 1), np.float32)
 
     def row(self, token: str) -> int:
         k = self.at[token] = len(self.at)
