@@ -17,6 +17,9 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
+from array import array
+from sys import byteorder
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +53,8 @@ def cuts(data: bytes, bits: int = CHUNK_BITS) -> list[int]:
     return np.unique(space[at[at < len(space)]]).tolist()
 
 
-def clean(piece: str) -> bool:
-    """Its ends don't touch further white space, so that the text around can't change its ids."""
-    return bool(piece) and not piece[0].isspace() and not piece[-1].isspace()
+#: White space next to white space, or at an end: there the text around a piece could change its ids.
+UNCLEAN = re.compile(r"\s\s|^\s|\s\Z")
 
 
 class ChunkEncoder:
@@ -77,13 +79,15 @@ class ChunkEncoder:
         if not texts:
             return []
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in done]
+        return [array("I", e.ids).tobytes() for e in done] if byteorder == "little" else [np.array(e.ids, "<u4").tobytes() for e in done]
 
     def split(self, text: str) -> list[str]:
         """Pieces that begin with their space, but for the first; unclean ones are joined to their neighbours."""
+        lead = text.startswith(" ") and not text[1:2].isspace()
+        if not UNCLEAN.search(text, lead):
+            parts = text.split(" ")
+            return [" " + p for p in parts[1:]] if lead else [parts[0], *[" " + p for p in parts[1:]]]
         parts = text.split(" ")
-        if all(map(clean, parts[1:-1])) and (len(parts) < 2 or (clean(parts[0]) and clean(parts[-1]))):
-            return [parts[0], *(" " + p for p in parts[1:])]
         out = [parts[0]]
         for before, p in zip(parts, parts[1:]):
             if before and not before[-1].isspace() and p and not p[0].isspace():
@@ -139,8 +143,11 @@ class ChunkEncoder:
         asked = list({s for parts in cut for s in map(self.sides, parts, parts[1:])} - self.joins)
         self.stats["joins"] += len(asked)
         whole = self.plain([(a + b).decode() for a, b in asked])
-        apart = self.plain([x.decode() for s in asked for x in s])
-        wrong = {s for s, w, a, b in zip(asked, whole, apart[::2], apart[1::2]) if w != a + b}
+        sides = {x for s in asked for x in s}
+        own = {x: ids for x in sides if (ids := self.pieces.get(x.decode())) is not None}
+        rest = [x for x in sides if x not in own]
+        own |= zip(rest, self.plain([x.decode() for x in rest]))
+        wrong = {s for s, w in zip(asked, whole) if w != own[s[0]] + own[s[1]]}
         if len(self.joins) > 100_000:
             self.joins.clear()
         self.joins.update(s for s in asked if s not in wrong and len(s[0]) + len(s[1]) < 128)
