@@ -8,8 +8,9 @@ tau = 3: L = 2, b = 2, eight keys of 24 bits; for tau = 7: L = 4, b = 6, 160 key
 the chain's budgets one after another before the full Hamming check.
 
 A key's fingerprints are compared in one kernel call by vectorised passes; the call returns one link from each to the
-smallest of its local component, never all pairs. Keys with more than ``block`` fingerprints are split: each pair of
-chunks is a call of its own, so every pair is still compared and no task holds more than two chunks. Components come from
+smallest of its local component, never all pairs. Keys with more than ``block`` fingerprints are only named by the first
+pass; a second one splits them: each pair of chunks is a call of its own, so every pair is still compared and no call
+holds more than two chunks. Components come from
 alternating large-star and small-star rounds on tables in the shared folder.
 
 Defined cases: null and empty texts have fingerprint 0 and link like others; repeated rows fall into one component;
@@ -23,6 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,9 +98,9 @@ def start_of(key: np.ndarray, tau: int) -> np.ndarray:
     return (key >> bits) // math.comb(blocks, chain - 1)
 
 
-def units(keyed: DataFrame, block: int) -> DataFrame:
-    """fp, key, a, b, side: the calls of the kernel. a = b compares a chunk within itself, else chunk a with chunk b."""
-    counts = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+def units(keyed: DataFrame, large: DataFrame, block: int) -> DataFrame:
+    """fp, key, a, b, side: the calls for large keys. a = b compares a chunk within itself, else chunk a with chunk b."""
+    counts = keyed.join(large, "key").groupBy("key").agg(F.count("*").alias("c"))
     many = keyed.join(counts, "key").withColumn("n", F.ceil(F.col("c") / F.lit(float(block))))
     many = many.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n")))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
@@ -150,45 +152,77 @@ def unit_roots(fp: np.ndarray, unit: np.ndarray, start: np.ndarray, side: np.nda
         gap += 1
 
 
-def kernel(batches, tau: int):
-    """Sorted units in; (u, v) links, v the first of u's local component. A unit is never split between calls."""
+def kernel(batches, tau: int, limit: int | None = None):
+    """Sorted rows fp, key[, a, b, side] in; out: u, v, the first of u's local component, or large, a key with more than
+    limit rows, of which no more are held. A key's call is never split between batches."""
+    names = ("key", "a", "b")
     held: list[pa.RecordBatch] = []
+    over = None  # the large key whose rows are being passed over
+
+    def out(u, v, large):
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(large, pa.int64())], names=["u", "v", "large"])
 
     def links(table: pa.Table):
-        fp = table.column("fp").to_numpy().view(np.uint64)
-        key, a, b = (table.column(c).to_numpy() for c in ("key", "a", "b"))
+        parts = {c: table.column(c).to_numpy() for c in table.column_names}
+        fp, key = parts["fp"].view(np.uint64), parts["key"]
         new = np.ones(len(fp), bool)
-        new[1:] = (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        root = unit_roots(fp, np.cumsum(new), start_of(key, tau), table.column("side").to_numpy(), a != b, tau)
+        new[1:] = np.logical_or.reduce([parts[c][1:] != parts[c][:-1] for c in names if c in parts])
+        unit = np.cumsum(new) - 1
+        size = np.bincount(unit)
+        large = np.flatnonzero(size > limit) if limit else np.zeros(0, np.int64)
+        if len(large):
+            at = np.flatnonzero(new)[large]
+            yield out([None] * len(at), [None] * len(at), key[at])
+        some = (size[unit] > 1) & ~np.isin(unit, large)
+        fp, key, unit = fp[some], key[some], unit[some]
+        side, cross = (parts["side"][some], (parts["a"] != parts["b"])[some]) if "side" in parts else (np.zeros(len(fp), int), np.zeros(len(fp), bool))
+        root = unit_roots(fp, unit, start_of(key, tau), side, cross, tau)
         moved = np.flatnonzero(root != np.arange(len(fp)))
         signed = fp.view(np.int64)
         if len(moved):
-            yield pa.RecordBatch.from_arrays([pa.array(signed[moved]), pa.array(signed[root[moved]])], names=["u", "v"])
+            yield out(signed[moved], signed[root[moved]], [None] * len(moved))
 
-    def cut(table: pa.Table) -> int:
-        """Rows before the last unit, which may go on in the next batch."""
-        last = [table.column(c)[table.num_rows - 1].as_py() for c in ("key", "a", "b")]
+    def last_call(table: pa.Table) -> int:
+        """The first row of the last call, which may go on in the next batch."""
         same = np.ones(table.num_rows, bool)
-        for c, value in zip(("key", "a", "b"), last):
-            same &= table.column(c).to_numpy() == value
+        for c in names:
+            if c in table.column_names:
+                column = table.column(c).to_numpy()
+                same &= column == column[-1]
         return int(np.argmax(same))
 
     for batch in batches:
-        held.append(batch)
-        table = pa.Table.from_batches(held)
-        if table.num_rows and (at := cut(table)):
+        table = pa.Table.from_batches([*held, batch])
+        if over is not None:
+            table = table.filter(pc.not_equal(table.column("key"), over))
+        if not table.num_rows:
+            held = []
+            continue
+        over, at = None, last_call(table)
+        if at:
             yield from links(table.slice(0, at).combine_chunks())
-            held = table.slice(at).combine_chunks().to_batches()
+        table = table.slice(at).combine_chunks()
+        if limit and table.num_rows > limit:
+            over = table.column("key")[0].as_py()
+            yield out([None], [None], [over])
+            held = []
+        else:
+            held = table.to_batches()
     if held:
-        table = pa.Table.from_batches(held).combine_chunks()
-        if table.num_rows:
-            yield from links(table)
+        yield from links(pa.Table.from_batches(held).combine_chunks())
 
 
 def links(fps: DataFrame, block: int = BLOCK, tau: int = TAU) -> DataFrame:
     """u, v (u != v): links whose components are those of all pairs within tau. fps: different values of fp."""
-    calls = units(keys(fps, tau), block).repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
-    return calls.mapInArrow(lambda batches: kernel(batches, tau), "u long, v long").distinct()
+    keyed, schema = keys(fps, tau), "u long, v long, large long"
+    first = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: kernel(batches, tau, block), schema)
+    first = materialise(first, "links")
+    edges = first.where("large is null").select("u", "v")
+    large = first.where("large is not null").select(F.col("large").alias("key")).distinct()
+    if not large.isEmpty():
+        calls = units(keyed, large, block).repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+        edges = edges.unionByName(calls.mapInArrow(lambda batches: kernel(batches, tau), schema).select("u", "v"))
+    return edges.distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
