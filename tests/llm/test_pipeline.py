@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from voxelweave.llm import bpe, langid, simhash
+from voxelweave.llm import bpe, jaccard, langid, simhash
 from voxelweave.llm.common import materialise
 
 NAMES = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -86,3 +86,37 @@ def test_language_stage_agrees_with_operator(spark):
     model = langid.fit(docs)
     told = {r["doc_id"] for r in langid.predict(docs, model).collect() if r["lang_pred"] != "und" and r["score"] >= 0.5}
     assert {r["doc_id"] for r in langid.keep_identified(docs, model).collect()} == told
+
+
+@pytest.mark.parametrize("small, block", [(32, 2048), (2, 3)])
+def test_near_copies_are_those_at_08(spark, small, block):
+    """Pairs just over and under 0.8, which differ in about ten bits of their fingerprints, against all pairs."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for _ in range(25):
+        words = [word() for _ in range(rng.randint(40, 300))]
+        texts.append(" ".join(words))
+        for _ in range(6):
+            near = list(words)
+            for at in rng.sample(range(len(near)), max(1, round(len(near) * rng.uniform(0.005, 0.05)))):
+                near[at] = word()
+            texts.append(" ".join(near))
+    texts += [None, "", "a b", "A  b", "a b c", None]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts)) + [(None, texts[0])]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    label = list(range(len(texts)))
+    similar = [(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in similar:
+            if label[a] != label[b]:
+                label[a] = label[b] = min(label[a], label[b])
+                changed = True
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_copies(df, small=small, block=block).collect() if r["doc_id"] is not None}
+    assert got == dict(enumerate(label))
+    kept = {r["doc_id"] for r in simhash.drop_near_copies(df).collect()}
+    assert kept == set(label) | {None}

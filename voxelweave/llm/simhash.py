@@ -270,7 +270,10 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, tau: int = 7) -> DataFrame:
-    """The rows of df without those whose component has a smaller id; df's own columns. Rows without an id stay."""
-    gone = near_dedup(df, id_col, text_col, width, tau=tau).where("doc_id > component_id").select(F.col("doc_id").alias("__gone")).distinct()
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
+    """The rows of df without those whose component has a smaller id; df's own columns. Rows without an id stay. Rows
+    link at an exact Jaccard similarity of 0.8 or more of their shingle sets; fingerprints have no part in it."""
+    from voxelweave.llm import jaccard  # which imports this module
+
+    gone = jaccard.near_copies(df, id_col, text_col, width).where("doc_id > component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return df.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
