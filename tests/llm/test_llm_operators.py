@@ -3,7 +3,7 @@
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -214,6 +214,23 @@ def test_language_id_without_training_rows(spark):
     assert langid.predict(documents(spark, []), langid.fit(documents(spark, []))).count() == 0
 
 
+def test_long_runs_are_scored_whole(spark):
+    rng = random.Random(4)
+    run = lambda sounds, n: "".join(rng.choice(sounds) for _ in range(n))
+    sounds = {"aa": ["ka", "lo", "mi"], "bb": ["sch", "tz", "ung"]}
+    rows = [(i, run(sounds[lang], 400), lang) for i in range(60) for lang in [("aa", "bb")[i % 2]]]  # no language has a short word
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    scorer = langid.Scorer(langid.fit(df))
+    assert scorer.model.langs == ["aa", "bb"]
+    mixed = run(sounds["aa"], 60) + run(sounds["bb"], 2000)
+    assert scorer(mixed)[0] == "bb"
+    short, long = run(sounds["bb"], 20), run(sounds["bb"], 2000)
+    assert scorer(long)[1] > scorer(short)[1]
+    for n in range(2, 6):  # each n-gram of a long run once
+        assert Counter(g for part in langid.blocks(mixed) for g in langid.grams(part, n)) == Counter(f"^{mixed}$"[i : i + n] for i in range(len(mixed) + 3 - n))
+    assert Counter(g for part in langid.blocks(mixed) for g in langid.grams(part, 1)) == Counter(mixed)
+
+
 # ---------------------------------------------------------------- mixing
 
 

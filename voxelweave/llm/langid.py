@@ -2,7 +2,9 @@
 
 A model holds, per language, log frequencies of words and of character n-grams (n = 1 to 5, with word edges). A known
 word scores by its own frequencies; an unseen one by the longest n for which any of its n-grams is known. A text's score
-is the softmax of the mean word score, sharpened by its number of words up to ``sharp``.
+is the softmax of the mean word score, sharpened by its number of words up to ``sharp``. A run of more than ``BLOCK``
+letters is never a vocabulary word: its n-grams are counted and scored over the whole run, in blocks of ``BLOCK`` letters
+that count as words in proportion to their length.
 
 Fit: rows with a language that aren't held out; ``docs_per_language`` bounds the sample (an id-hash share of each
 language), ``entries`` bounds the model, which is all the driver ever holds.
@@ -26,13 +28,29 @@ from voxelweave.llm.common import hash_fraction, slices, train_rows
 RUN = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 LONGEST = 5
+#: Letters of a run that make one word at most.
+BLOCK = 100
+#: Starts a block of a longer run; no letter.
+PART = "+"
 
 
 def letter_runs(text: str) -> list[str]:
     return [w for w in RUN.findall(text.lower()) if any(map(str.isalpha, w))]
 
 
+def blocks(word: str) -> list[str]:
+    """The blocks of a long run, each marked and with the letters that its last n-grams reach into; a short run itself."""
+    if len(word) <= BLOCK:
+        return [word]
+    edged = f"^{word}$"
+    return [PART + edged[at : at + BLOCK + LONGEST - 1] for at in range(0, len(edged), BLOCK)]
+
+
 def grams(word: str, n: int) -> list[str]:
+    if word.startswith(PART):
+        part = word[1:]
+        found = [part[i : i + n] for i in range(min(BLOCK, len(part) - n + 1))]
+        return [g for g in found if g not in "^$"] if n == 1 else found
     if n == 1:
         return list(word)
     edged = f"^{word}$"
@@ -53,7 +71,8 @@ def count_words(batches):
     for b in slices(batches):
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             for word, c in Counter(letter_runs(text)).items():
-                seen[lang, word[:100]] += c  # a longer run is no word; its n-grams would swamp the counts
+                for part in blocks(word):
+                    seen[lang, part] += c
         if len(seen) > 200_000:
             yield from flush()
     yield from flush()
@@ -106,12 +125,18 @@ class Model:
         known = self.words.get(word)
         if known is not None:
             return known
-        word = word[:100]
-        for n in range(LONGEST, 0, -1):
-            found = [r for g in grams(word, n) if (r := self.grams.get(g)) is not None]
-            if found:
-                return sum(found) / len(found)
-        return np.zeros(len(self.langs), np.float32)
+        total, of = np.zeros(len(self.langs), np.float32), 0
+        for part in blocks(word):
+            letters = len(grams(part, 1))
+            for n in range(LONGEST, 0, -1):
+                found = [r for g in grams(part, n) if (r := self.grams.get(g)) is not None]
+                if found:
+                    if len(word) <= BLOCK:
+                        return sum(found) / len(found)
+                    total += sum(found) / len(found) * letters
+                    break
+            of += letters
+        return total / max(1, of)
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 1500, entries: int = 200_000, most_languages: int = 500) -> Model:
@@ -130,11 +155,11 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
         best = Window.partitionBy(*keys).orderBy(F.desc("c"), name)
         return [tuple(r) for r in counts.withColumn("k", F.row_number().over(best)).where(F.col("k") <= n).drop("k").collect()]
 
-    words = top(counted.where("length(word) < 100").select("lang", "word", "c"), ["lang"], "word", most)
+    words = top(counted.where((F.length("word") <= BLOCK) & ~F.col("word").startswith(PART)).select("lang", "word", "c"), ["lang"], "word", most)
     gram_counts = counted.mapInArrow(count_grams, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
     gram_rows = top(gram_counts.select("lang", "n", "gram", "c"), ["lang", "n"], "gram", max(50, most // LONGEST))
     counted.unpersist()
-    langs = sorted({r[0] for r in words})
+    langs = sorted({r[0] for r in words} | {r[0] for r in gram_rows})
     return Model(langs, words, gram_rows)
 
 
@@ -151,8 +176,9 @@ class Scorer:
         runs = letter_runs(token)
         self.table[k] = 0
         for w in runs:
-            self.table[k, :-1] += self.model.word(w)
-        self.table[k, -1] = len(runs)
+            weight = max(1, len(w) / BLOCK)
+            self.table[k, :-1] += self.model.word(w) * weight
+            self.table[k, -1] += weight
         return k
 
     def __call__(self, text: str | None) -> tuple[str, float]:
