@@ -214,6 +214,13 @@ def test_language_id_without_training_rows(spark):
     assert langid.predict(documents(spark, []), langid.fit(documents(spark, []))).count() == 0
 
 
+def test_too_many_languages_raise(spark):
+    df = documents(spark, [(i, f"word{i} and more", f"l{i % 3}") for i in range(60)])
+    assert len(langid.fit(df, most_languages=3).langs) == 3
+    with pytest.raises(ValueError, match="more than 2 languages"):
+        langid.fit(df, most_languages=2)
+
+
 def test_long_runs_are_scored_whole(spark):
     rng = random.Random(4)
     run = lambda sounds, n: "".join(rng.choice(sounds) for _ in range(n))

@@ -7,7 +7,8 @@ letters is never a vocabulary word: its n-grams are counted and scored over the
 that count as words in proportion to their length.
 
 Fit: rows with a language that aren't held out; ``docs_per_language`` bounds the sample (an id-hash share of each
-language), ``entries`` bounds the model, which is all the driver ever holds.
+language), ``entries`` bounds the model, which is all the driver ever holds. Every language is learned; more than
+``most_languages`` raise an error, as each entry has a score for each language.
 
 Defined cases: null texts and texts without a letter give ``und`` and score 0; without any training row all do; texts
 with letters but no known n-gram get the first language with a score of 1 / languages; repeated rows agree.
@@ -142,7 +143,9 @@ class Model:
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 1500, entries: int = 200_000, most_languages: int = 500) -> Model:
     rows = train_rows(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")))
     rows = rows.where(~F.col("held_out") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    per = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    per = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(most_languages + 1).collect()
+    if len(per) > most_languages:
+        raise ValueError(f"more than {most_languages} languages to learn; raise most_languages or correct {lang_col}")
     if not per:
         return Model([], [], [])
     share = F.create_map(*(x for r in per for x in (F.lit(r["lang"]), F.lit(min(1.0, docs_per_language / r["n"])))))
