@@ -149,6 +149,12 @@ def test_evolve_ends_at_t_end(spark):
     assert run.state.where("rho <= 0 or isnan(rho)").count() == 0
 
 
+def test_evolve_raises_before_t_end(spark):
+    config = MeshConfig(dim=2, k=24, buff=0.25, t_end=0.02)
+    with pytest.raises(RuntimeError, match="after 0 steps"):
+        simulation.simulate(points.sod(made(spark, scattered(80)), config), config, max_steps=0)
+
+
 def test_hll_of_broken_state_is_zero(spark):
     row = {"l_rho": 1.0, "l_vx": 0.0, "l_vy": 0.0, "l_vz": 0.0, "l_E": -5.0, "r_rho": 1.0, "r_vx": 0.0, "r_vy": 0.0, "r_vz": 0.0, "r_E": 1.0, "ax": 1.0, "ay": 0.0, "az": 0.0}
     df = spark.createDataFrame([row]).withColumns(geometry.face_frame([F.col("ax"), F.col("ay"), F.col("az")]))

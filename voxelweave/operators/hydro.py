@@ -78,4 +78,6 @@ def evolve(faces: DataFrame, cells: DataFrame, state: DataFrame, config: MeshCon
             raise RuntimeError(f"the time step is {dt}")
         state = materialise(step(faces, cells, state, dt, config), "state")
         t, n = t + dt, n + 1
+    if t < config.t_end:
+        raise RuntimeError(f"t is {t}, below t_end {config.t_end}, after {n} steps")
     return state, n, t
