@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelweave.lineage import materialise, scratch_dir
+from voxelweave.lineage import discard, materialise, scratch_dir
 
-__all__ = ["SLICE", "WS", "WS_BYTES", "hash_fraction", "materialise", "scratch_dir", "slices", "table", "train_rows", "words"]
+__all__ = ["FEW_IDS", "SLICE", "WS", "WS_BYTES", "discard", "fresh", "hash_fraction", "kernel", "materialise", "scratch_dir", "slices", "table", "train_rows", "words"]
 
 #: Characters that separate words: space and U+0009 to U+000D.
 WS = " \t\n\x0b\x0c\r"
 WS_BYTES = WS.encode()
 #: Rows held at once by the Python kernels.
 SLICE = 256
+#: Up to this many short rows are broadcast; more meet their table in a shuffle.
+FEW_IDS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +37,38 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
             yield b.slice(at, rows)
 
 
+def give_back() -> None:
+    """Returns what this process has freed to the system. Workers outlive their tasks, so else their peaks add up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def kernel(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow(run, schema); each partition ends with its worker's free memory given back."""
+
+    def lean(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(lean, schema)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of df is called so."""
+    used, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def train_rows(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Adds held_out: crc32 of the id's text mod 3 is 1. A null id counts as the empty text."""
     return df.withColumn("held_out", F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 3 == 1)

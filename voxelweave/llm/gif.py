@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelweave.llm.common import slices
+from voxelweave.llm.common import kernel, slices
 
 WIDTH, ROWS, DELAY_CS, LITERALS = 64, 1024, 4, 254
 GREY = bytes(v for k in range(256) for v in (k, k, k))
@@ -313,7 +313,7 @@ def media_columns(df: DataFrame, gif_col: str = "gif", keep_pixels: bool = False
             extra = [pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], frame_type)]
             yield pa.RecordBatch.from_arrays([*b.columns, *extra], names=[*names, "gif_width", "gif_height", "gif_frames"])
 
-    return df.mapInArrow(run, f"{fields}, gif_width int, gif_height int, gif_frames {FRAMES}")
+    return kernel(df, run, f"{fields}, gif_width int, gif_height int, gif_frames {FRAMES}")
 
 
 def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = False) -> DataFrame:
@@ -342,4 +342,4 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
             found = list(zip(*map(one, b.column(1).to_pylist())))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(found, kinds))], names=names)
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return kernel(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, schema)
