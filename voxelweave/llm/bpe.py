@@ -1,21 +1,27 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
-A rolling hash over the last 16 bytes cuts a text where its low bits are zero, moved on to the next single space between
-two visible ASCII characters, so equal passages of different documents fall into equal chunks. A chunk is encoded once
-and its ids are kept, within a memory bound, for all further documents of the worker; within a new chunk the pieces
-between single spaces are reused alike. Each join of two chunks is checked by re-encoding the pieces at both of its
-sides as one string; where that disagrees, one more piece at each side is taken until the ids agree.
+A rolling hash over the last 16 bytes cuts a text where its upper bits are zero, moved on to the next single space
+between two visible ASCII characters, so equal passages of different documents fall into equal chunks. A chunk is encoded
+once and its ids are kept, within a memory bound, for all further documents of the worker. Each join of two chunks is
+checked by re-encoding the pieces at both of its sides as one string; where that disagrees, one more piece at each side is
+taken until the ids agree.
+
+A chunk is encoded by a compiled byte-pair core that is built from the tokenizer file, where that file describes plain
+byte-level BPE; chunks with a special token's string, very long chunks and all other tokenizers go through the
+tokenizers library itself.
 
 Chunks are reused within an executor's Python worker, not across the cluster: dealing out all chunks and their ids by
 content would move about twice the corpus.
 
 Defined cases: null text counts as empty; empty text has no ids and decodes to the empty text; a run without spaces is
-one piece, however long; strings of special tokens in a text become special ids, as the library does by default.
+one chunk, however long, as is a text of spaces; strings of special tokens in a text become special ids, as the library
+does by default; repeated rows repeat; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from array import array
@@ -26,13 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelweave.llm.common import slices
+from voxelweave.llm.common import kernel, slices
 
 CHUNK_BITS = 10
+#: Longer chunks, in characters, go through the library.
+LONG_CHUNK = 1 << 16
 #: Fixed values of the rolling hash: a multiplicative sequence, one for each byte.
 GEAR = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32)
 VISIBLE = np.zeros(256, bool)
 VISIBLE[0x21:0x7F] = True
+#: Fixed value: the pattern by which byte-level pre-tokenizers split a text.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def cuts(data: bytes, bits: int = CHUNK_BITS) -> list[int]:
@@ -53,59 +63,69 @@ def cuts(data: bytes, bits: int = CHUNK_BITS) -> list[int]:
     return np.unique(space[at[at < len(space)]]).tolist()
 
 
-#: White space next to white space, or at an end: there the text around a piece could change its ids.
-UNCLEAN = re.compile(r"\s\s|^\s|\s\Z")
+def alphabet() -> dict[str, int]:
+    """The characters that byte-level vocabularies write for the 256 bytes."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [x for x in range(256) if x not in set(visible)]
+    return {chr(x): x for x in visible} | {chr(256 + k): x for k, x in enumerate(rest)}
+
+
+def byte_core(spec: dict):
+    """The compiled core of a plain byte-level BPE, or None if the file asks for anything else.
+
+    Merging the pair whose union has the smallest id is the file's own order only if merge k makes id 256 + k."""
+    model, pre = spec.get("model") or {}, spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    level = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+    if not plain or not level or spec.get("normalizer") or any(t.get(k) for t in spec.get("added_tokens") or () for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        return None
+    letters, vocab = alphabet(), model["vocab"]
+    added = {t["content"] for t in spec.get("added_tokens") or ()}
+    ranks = {bytes(map(letters.__getitem__, t)): k for t, k in vocab.items() if t not in added}
+    made = [vocab.get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    if made != list(range(256, 256 + len(made))) or len(ranks) != 256 + len(made):
+        return None
+    import tiktoken
+
+    return tiktoken.Encoding("chunks", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})._core_bpe
 
 
 class ChunkEncoder:
     """encode(texts) -> ids as little-endian unsigned 32-bit bytes, equal to the library's for whole texts."""
 
-    def __init__(self, path: str, chunk_room: int = 12 << 20, piece_room: int = 200_000):
+    def __init__(self, path: str, chunk_room: int = 12 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.chunk_room, self.piece_room = chunk_room, piece_room
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.core = byte_core(spec)
+        added = [re.escape(t["content"]) for t in spec.get("added_tokens") or ()]
+        self.special = re.compile("|".join(added) or r"(?!)")
+        self.chunk_room = chunk_room
         self.chunks: dict[bytes, bytes] = {}
         self.held = 0
-        self.pieces: dict[str, bytes] = {}
         self.joins: set[tuple[bytes, bytes]] = set()
         self.stats = {"chunks": 0, "reused": 0, "joins": 0, "repaired": 0}
         self._bytes: list[bytes] | None = None
 
-    def plain(self, texts: list[str]) -> list[bytes]:
+    def library(self, texts: list[str]) -> list[bytes]:
         if not texts:
             return []
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in done] if byteorder == "little" else [np.array(e.ids, "<u4").tobytes() for e in done]
 
-    def split(self, text: str) -> list[str]:
-        """Pieces that begin with their space, but for the first; unclean ones are joined to their neighbours."""
-        lead = text.startswith(" ") and not text[1:2].isspace()
-        if not UNCLEAN.search(text, lead):
-            parts = text.split(" ")
-            return [" " + p for p in parts[1:]] if lead else [parts[0], *[" " + p for p in parts[1:]]]
-        parts = text.split(" ")
-        out = [parts[0]]
-        for before, p in zip(parts, parts[1:]):
-            if before and not before[-1].isspace() and p and not p[0].isspace():
-                out.append(" " + p)
-            else:
-                out[-1] += " " + p
-        return out
-
-    def new_chunks(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        split = [self.split(c.decode()) for c in chunks]
-        if len(self.pieces) > self.piece_room:
-            self.pieces.clear()
-        missing = list({p for parts in split for p in parts if p not in self.pieces})
-        short = [p for p in missing if len(p) <= 64]
-        own = dict(zip(long := [p for p in missing if len(p) > 64], self.plain(long)))
-        self.pieces.update(zip(short, self.plain(short)))
-        get, pieces = own.get, self.pieces
-        return {c: b"".join([x if (x := pieces.get(p)) is not None else get(p) for p in parts]) for c, parts in zip(chunks, split)}
+    def plain(self, texts: list[str]) -> list[bytes]:
+        if self.core is None:
+            return self.library(texts)
+        one, special = self.core.encode_ordinary, self.special.search
+        odd = [k for k, t in enumerate(texts) if len(t) > LONG_CHUNK or special(t)]
+        known = dict(zip(odd, self.library([texts[k] for k in odd])))
+        ids = lambda x: array("I", x).tobytes() if byteorder == "little" else np.array(x, "<u4").tobytes()
+        return [known[k] if k in known else ids(one(t)) for k, t in enumerate(texts)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = []
@@ -114,19 +134,20 @@ class ChunkEncoder:
             ends = [*cuts(data), len(data)]
             cut.append([data[a:b] for a, b in zip([0, *ends], ends)] if data else [])
         wanted = dict.fromkeys(c for parts in cut for c in parts)
-        self.stats["chunks"] += sum(map(len, cut))
         fresh = [c for c in wanted if c not in self.chunks]
+        self.stats["chunks"] += sum(map(len, cut))
         self.stats["reused"] += sum(map(len, cut)) - len(fresh)
-        done = self.new_chunks(fresh)
+        done = dict(zip(fresh, self.plain([c.decode() for c in fresh])))
         known = {c: self.chunks[c] if c in self.chunks else done[c] for c in wanted}
         wrong = self.disagreeing(cut)
         out = [self.joined(parts, known, wrong) for parts in cut]
-        self.held += sum(len(c) + len(i) + 200 for c, i in done.items())
-        if self.held > self.chunk_room:
+        size = sum(len(c) + len(i) + 200 for c, i in done.items())
+        if self.held + size > self.chunk_room:
             self.chunks.clear()
-            self.held = sum(len(c) + len(i) + 200 for c, i in done.items())
-        if self.held <= self.chunk_room:
+            self.held = 0
+        if size <= self.chunk_room:
             self.chunks.update(done)
+            self.held += size
         return out
 
     @staticmethod
@@ -142,13 +163,9 @@ class ChunkEncoder:
         """Joins whose two sides, encoded as one string, have other ids than encoded apart."""
         asked = list({s for parts in cut for s in map(self.sides, parts, parts[1:])} - self.joins)
         self.stats["joins"] += len(asked)
-        whole = self.plain([(a + b).decode() for a, b in asked])
-        sides = {x for s in asked for x in s}
-        own = {x: ids for x in sides if (ids := self.pieces.get(x.decode())) is not None}
-        rest = [x for x in sides if x not in own]
-        own |= zip(rest, self.plain([x.decode() for x in rest]))
-        wrong = {s for s, w in zip(asked, whole) if w != own[s[0]] + own[s[1]]}
-        if len(self.joins) > 100_000:
+        whole, left, right = (self.plain(x) for x in ([(a + b).decode() for a, b in asked], [a.decode() for a, _ in asked], [b.decode() for _, b in asked]))
+        wrong = {s for s, w, a, b in zip(asked, whole, left, right) if w != a + b}
+        if len(self.joins) > 50_000:
             self.joins.clear()
         self.joins.update(s for s in asked if s not in wrong and len(s[0]) + len(s[1]) < 128)
         return wrong
@@ -180,14 +197,12 @@ class ChunkEncoder:
             k *= 2
 
     def token_bytes(self) -> list[bytes]:
-        """The bytes of each id, by the library's own byte alphabet."""
+        """The bytes of each id, by the byte alphabet."""
         if self._bytes is None:
-            visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-            alphabet = {chr(x): x for x in visible}
-            alphabet |= {chr(256 + k): x for k, x in enumerate(x for x in range(256) if x not in set(visible))}
-            table = [b""] * (max(self.tokenizer.get_vocab().values(), default=-1) + 1)
-            for token, k in self.tokenizer.get_vocab().items():
-                table[k] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
+            letters, vocab = alphabet(), self.tokenizer.get_vocab()
+            table = [b""] * (max(vocab.values(), default=-1) + 1)
+            for token, k in vocab.items():
+                table[k] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
             self._bytes = table
         return self._bytes
 
@@ -210,4 +225,4 @@ def encode_decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return kernel(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, schema)
