@@ -16,7 +16,7 @@ class BitVector:
         padded = np.zeros((len(bits) // 64 + 1) * 64, np.uint8)
         padded[: len(bits)] = bits
         self.blocks = np.packbits(padded, bitorder="little").view(np.uint64)
-        self.counts = np.zeros(len(self.blocks) + 1, np.int64)
+        self.counts = np.zeros(len(self.blocks) + 1, np.int32)
         np.cumsum(np.bitwise_count(self.blocks), out=self.counts[1:])
 
     def rank1(self, i: np.ndarray) -> np.ndarray:
@@ -54,33 +54,40 @@ class FMIndex:
 
     def __init__(self, texts: list[np.ndarray], owners: np.ndarray, sigma: int, threshold: int):
         self.threshold, self.sigma = threshold, sigma
-        lengths = np.array([len(t) + 1 for t in texts])
-        joined = np.zeros(int(lengths.sum()) + 1, np.int64)
+        lengths = np.array([len(t) + 1 for t in texts], np.int64)
+        joined = np.zeros(int(lengths.sum()) + 1, np.int32)
         ends = np.cumsum(lengths)
         for t, end in zip(texts, ends):
             joined[end - 1 - len(t) : end - 1] = t
-        owner = np.append(np.repeat(owners, lengths), np.iinfo(np.int64).max)
         n = self.n = len(joined)
 
-        ranks, depth = {1: joined.astype(np.int64)}, 1
-        order = np.argsort(joined, kind="stable")
+        # ranks by 1, 2, 4, ... codes; kept are the one that leads to the threshold and the last
+        ranks, depth = {1: joined}, 1
+        order = np.argsort(joined, kind="stable").astype(np.int32)
+        needed = {1 << (threshold.bit_length() - 1), 1 << (max(1, threshold - 1).bit_length() - 1)}
         while depth < threshold:
             r = ranks[depth]
-            ahead = np.zeros(n, np.int64)
-            ahead[: n - depth] = r[depth:] + 1
-            key = r * (int(ahead.max()) + 1) + ahead
-            order = np.argsort(key, kind="stable")
-            sorted_key = key[order]
-            new = np.ones(n, np.int64)
-            new[1:] = sorted_key[1:] != sorted_key[:-1]
-            r = np.empty(n, np.int64)
-            r[order] = np.cumsum(new) - 1
+            key = r.astype(np.int64) * (n + 1)
+            key[: n - depth] += r[depth:] + 1
+            order = np.argsort(key, kind="stable").astype(np.int32)
+            key = key[order]
+            new = np.ones(n, np.int32)
+            new[1:] = key[1:] != key[:-1]
+            del key
+            nxt = np.empty(n, np.int32)
+            nxt[order] = np.cumsum(new, dtype=np.int32) - 1
+            if depth not in needed:
+                del ranks[depth]
             depth *= 2
-            ranks[depth] = r
-        self.low, self.high = self._groups(ranks, order, threshold - 1) if threshold > 1 else (np.zeros(n, np.int64), np.full(n, n))
-        starts, ends = self._groups(ranks, order, threshold)
-        least = np.minimum.reduceat(owner[order], np.flatnonzero(starts == np.arange(n)))
-        self.owner = least[np.cumsum(starts == np.arange(n)) - 1]
+            ranks[depth] = nxt
+        self.low, self.high = self._groups(ranks, order, threshold - 1) if threshold > 1 else (np.zeros(n, np.int32), np.full(n, n, np.int32))
+        starts = self._groups(ranks, order, threshold)[0]
+        del ranks
+        first = np.flatnonzero(starts == np.arange(n))
+        owner = np.append(np.repeat(owners, lengths), np.iinfo(np.int64).max)[order]
+        #: The smallest owner of each group of equal prefixes, and each row's group.
+        self.least = np.minimum.reduceat(owner, first)
+        self.group = np.cumsum(np.bincount(first, minlength=n), dtype=np.int32) - 1
         bwt = joined[order - 1]
         counts = np.bincount(bwt, minlength=sigma)
         self.before = np.cumsum(counts) - counts
@@ -90,13 +97,13 @@ class FMIndex:
         """For each row of the suffix order: first row and row past the last with the same ``depth`` codes."""
         half = max(d for d in ranks if d <= depth)
         a = ranks[half][order]
-        shifted = order + depth - half
+        shifted = order + (depth - half)
         b = np.where(shifted < self.n, ranks[half][np.minimum(shifted, self.n - 1)], -1)
         new = np.ones(self.n, bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        at = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        return at[group], np.append(at[1:], self.n)[group]
+        at = np.append(np.flatnonzero(new), self.n).astype(np.int32)
+        group = np.cumsum(new, dtype=np.int32) - 1
+        return at[group], at[group + 1]
 
     def step(self, code: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: the intervals of code + pattern."""
@@ -132,7 +139,7 @@ class FMIndex:
             low, high = np.where(ok, new_low, 0), np.where(ok, new_high, self.n)
             hit = length == t
             if hit.any():
-                found[base[hit] + at[hit] + 1] = self.owner[low[hit]]
+                found[base[hit] + at[hit] + 1] = self.least[self.group[low[hit]]]
             alive = (at >= 0) & (at + length + 1 >= t)
             if not alive.all():
                 base, at, length, low, high = (x[alive] for x in (base, at, length, low, high))
