@@ -7,8 +7,12 @@ under a rejected node is kept, by dynamic programming from the leaves up.
 
 The trees are fitted here, on ``TRAIN_PAGES`` pages of a seeded generator that knows which of its blocks are main text.
 
+Elements that a browser doesn't show (``hidden``, ``display: none``, ``visibility: hidden``) hold no text, nor do inline
+elements whose names say that they are adverts.
+
 Defined cases: null and empty pages give the empty text; repeated rows repeat; broken markup is read as browsers do,
-roughly: open elements end with their parents, unknown references stay as they are; an empty table gives no rows.
+roughly: open elements end with their parents, unknown references stay as they are; long and deeply nested pages are read
+whole, in time that grows with their length; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxelweave.llm.boosting import BoostedTrees
-from voxelweave.llm.common import slices
+from voxelweave.llm.common import kernel, slices
 
 TRAIN_PAGES, SEED = 500, 7
 
@@ -42,7 +46,11 @@ GOOD_TOKENS = frozenset("article articlebody content contents post entry body ma
 BAD_TOKENS = frozenset("nav navbar navigation menu menubar sidebar side aside footer foot bottom header head top masthead ad ads adv advert advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent notice gdpr alert comment comments disqus reply replies respond discussion share sharing social related recommended recommendations widget widgets popup modal overlay subscribe subscription newsletter signup login breadcrumb breadcrumbs pagination pager toolbar tags tagcloud copyright legal form search links skip toc rail teaser meta byline".split())
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
-ATTRIBUTES = re.compile(r"""(class|id|role|itemprop|hidden|style|aria-hidden|aria-label)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.I)
+#: Tokens that make an inline element an advert.
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertising promo promotion sponsor sponsored".split())
+
+ATTRIBUTES = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
+UNSHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 TAG_REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
@@ -58,20 +66,22 @@ class Page:
     def __init__(self):
         self.tag, self.parent, self.attrs, self.text, self.silent = ["#root"], [-1], [""], [""], [False]
 
-    def add(self, tag: str, parent: int, attrs: str = "", text: str = "") -> int:
+    def add(self, tag: str, parent: int, attrs: str = "", text: str = "", silent: bool = False) -> int:
         self.tag.append(tag)
         self.parent.append(parent)
         self.attrs.append(attrs)
         self.text.append(text)
-        self.silent.append(self.silent[parent] or tag in SILENT)
+        self.silent.append(silent or self.silent[parent] or tag in SILENT)
         return len(self.tag) - 1
 
 
 def parse(source: str) -> Page:
-    page, stack, names = Page(), [0], ["#root"]
-    block: list[str] = []  # pieces of the open text block
-    block_at = [0, False]  # its parent; whether one of its pieces is outside any link
-    linked = [0]
+    page, stack, names = Page(), [0], ["#root"]  # an inline element shares the node of the block around it
+    places: dict[str, list[int]] = {}  # of the open elements of each name in the stack
+    blocks = [0]  # places of the open elements that aren't inline
+    unshown: list[int] = []  # places of open inline elements whose text isn't shown
+    block: list[tuple[str, bool]] = []  # pieces of the open text block, and whether each lies in a link
+    block_at = [0]  # its parent
 
     def flush():
         if block:
@@ -82,21 +92,32 @@ def parse(source: str) -> Page:
             block.clear()
 
     def write(raw: str):
-        if page.silent[stack[-1]]:
+        if unshown or page.silent[stack[-1]]:
             return
         if not block:
-            k = len(stack) - 1
-            while k and names[k] in INLINE:
-                k -= 1
-            block_at[0] = stack[k]
-        block.append((html_lib.unescape(raw), bool(linked[0])))
+            block_at[0] = stack[-1]
+        block.append((html_lib.unescape(raw), bool(places.get("a"))))
+
+    def last(*wanted: str) -> int:
+        """The innermost open element of these names, or 0."""
+        return max((places[n][-1] for n in wanted if places.get(n)), default=0)
+
+    def open_element(tag: str, node: int):
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(node)
+        names.append(tag)
 
     def close_to(k: int):
         """Ends the open elements from stack position k on."""
-        if any(n not in INLINE for n in names[k:]):
+        if blocks[-1] >= k:
             flush()
-        linked[0] -= names[k:].count("a")
-        del stack[k:], names[k:]
+        while len(names) > k:
+            places[names.pop()].pop()
+            stack.pop()
+        while blocks[-1] >= k:
+            blocks.pop()
+        while unshown and unshown[-1] >= k:
+            unshown.pop()
 
     at, n = 0, len(source)
     while at < n:
@@ -134,29 +155,17 @@ def parse(source: str) -> Page:
         attrs = source[m.end() : end - 1]
         at = end
         if closing:
-            if tag == "p" and "p" not in names:
+            if tag == "p" and not places.get("p"):
                 flush()
-            for k in range(len(names) - 1, 0, -1):
-                if names[k] == tag:
-                    close_to(k)
-                    break
-                if names[k] in ("article", "main", "body") and tag in INLINE | {"p", "li"}:
-                    break
+            k = last(tag)
+            if k and not (tag in INLINE or tag in ("p", "li")) or k > last("article", "main", "body"):
+                close_to(k)
             continue
-        if tag in CLOSES_P:
-            for k in range(len(names) - 1, 0, -1):
-                if names[k] == "p":
-                    close_to(k)
-                    break
-                if names[k] not in INLINE:
-                    break
+        if tag in CLOSES_P and names[blocks[-1]] == "p":
+            close_to(blocks[-1])
         for other in SIBLINGS.get(tag, ()):
-            for k in range(len(names) - 1, 0, -1):
-                if names[k] == other:
-                    close_to(k)
-                    break
-                if names[k] in SCOPE[tag]:
-                    break
+            if (k := last(other)) > last(*SCOPE[tag]):
+                close_to(k)
         if tag in INLINE:
             if tag == "br":
                 write(" ")
@@ -165,14 +174,15 @@ def parse(source: str) -> Page:
             flush()
         if tag in VOID:
             continue
+        hidden, advert = attribute_marks(attrs)[2:] if attrs else (0, 0)
         if tag in INLINE:
-            stack.append(stack[-1])  # inline elements are no nodes of their own
-            names.append(tag)
-            linked[0] += tag == "a"
+            if hidden == 2 or advert:
+                unshown.append(len(stack))
+            open_element(tag, stack[-1])
             continue
-        node = page.add(tag, stack[-1], attrs)
-        stack.append(node)
-        names.append(tag)
+        node = page.add(tag, stack[-1], attrs, silent=bool(unshown) or hidden == 2)
+        blocks.append(len(stack))
+        open_element(tag, node)
         if tag in RAW:
             found = RAW_END[tag].search(source, at)
             at = found.start() if found else n
@@ -181,25 +191,26 @@ def parse(source: str) -> Page:
 
 
 @lru_cache(maxsize=50_000)
-def attribute_marks(attrs: str) -> tuple[int, int, int]:
-    """Good tokens, bad tokens, whether hidden."""
-    good = bad = hidden = 0
+def attribute_marks(attrs: str) -> tuple[int, int, int, int]:
+    """Good tokens, bad tokens, whether hidden (2: not shown at all, 1: from screen readers only), whether an advert."""
+    good = bad = hidden = advert = 0
     for name, value in ATTRIBUTES.findall(attrs):
         name, value = name.lower(), value.strip("\"'")
         if name == "role":
             bad += value.lower() in BAD_ROLES
             good += value.lower() in ("main", "article")
         elif name == "hidden":
-            hidden = 1
+            hidden = 2
         elif name == "style":
-            hidden |= "display:none" in value.replace(" ", "").lower() or "visibility:hidden" in value.replace(" ", "").lower()
+            hidden = max(hidden, 2 * bool(UNSHOWN.search(value)))
         elif name == "aria-hidden":
-            hidden |= value.lower() == "true"
-        else:
+            hidden = max(hidden, int(value.lower() == "true"))
+        elif name in ("class", "id", "itemprop", "aria-label"):
             tokens = [t.lower() for t in TOKEN.findall(value)]
             good += sum(t in GOOD_TOKENS for t in tokens)
             bad += sum(t in BAD_TOKENS for t in tokens)
-    return good, bad, int(hidden)
+            advert |= name != "aria-label" and any(t in ADVERTS for t in tokens)
+    return good, bad, hidden, int(advert)
 
 
 GROUPS = [("article", "main"), ("nav",), ("header",), ("footer",), ("aside",), ("form", "fieldset", "input"), ("ul", "ol", "dl", "menu"), ("li", "dt", "dd"), ("p",), ("h1", "h2", "h3", "h4", "h5", "h6"), ("div", "section"), ("table", "tr", "td", "th", "tbody", "thead"), ("blockquote", "pre", "figure", "figcaption"), ("#text",)]
@@ -214,7 +225,7 @@ def features(pages: list[Page]) -> np.ndarray:
     for page in pages:
         m = len(page.tag)
         tag = [GROUP.get(t, unknown) for t in page.tag]
-        marks = [attribute_marks(a) if a and t != block else (0, 0, 0) for a, t in zip(page.attrs, tag)]
+        marks = [attribute_marks(a)[:3] if a and t != block else (0, 0, 0) for a, t in zip(page.attrs, tag)]
         length = [0 if s else len(t) for t, s in zip(page.text, page.silent)]
         text, tags, kids, biggest = list(length), [int(t != block) for t in tag], [0] * m, [0] * m
         links = [x if a == "a" and t == block else 0 for x, a, t in zip(length, page.attrs, tag)]
@@ -225,7 +236,7 @@ def features(pages: list[Page]) -> np.ndarray:
         parent = page.parent
         for v in range(1, m):
             u = parent[v]
-            depth[v] = depth[u] + 1
+            depth[v] = depth[u] + 1  # of elements that aren't inline
             mask[v] = mask[u] | 1 << tag[u]
             g, b, h = marks[u]
             good[v], bad[v], hidden[v] = good[u] + g, bad[u] + b, hidden[u] | h
@@ -432,4 +443,4 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return kernel(rows, run, "page_id long, url string, text string, n_chars long")
