@@ -1,52 +1,74 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
-Terms are words and their leading letters. The examples are an id-hash sample of the labelled rows that aren't held
-out, ``EXAMPLES`` at most in expectation. Terms are chosen that occur in toxic examples significantly more often than in
-others (signed root of the likelihood ratio of ``least_z`` or more); their document frequencies are counted over all
-documents. Examples are ordered so that similar ones share a block of 64; each term has its largest weight in each
-block, so a block whose bound is below the k-th similarity found so far is passed over. Votes of the k nearest, weighted
-by squared similarity, are mapped to probabilities by isotonic regression on leave-one-out votes of the examples
+The examples are an id-hash sample of the labelled rows that aren't held out, ``EXAMPLES`` at most in expectation. Terms are
+the words of the examples: those that two or more examples hold, without those that over ``COMMON`` of them hold. Words and
+word beginnings that are significantly more frequent in toxic examples (signed root of the likelihood ratio of ``least_z``
+or more) are terms as well, and weigh that root times as much. Document frequencies are counted over all documents.
+Examples are ordered so that similar ones share a block of 64; each term has its largest weight in each block that it
+occurs in, so a block whose bound is below the k-th similarity found so far is passed over. Votes of the k nearest,
+weighted by squared similarity, are mapped to probabilities by isotonic regression on leave-one-out votes of the examples
 themselves; the neighbours are kept as evidence.
 
 Defined cases: null texts, empty texts and texts without any term have no neighbours and get the smoothed share of toxic
-rows among such examples; without any example the score is 0; an id labelled more than once counts as toxic if one label
-says so; labels of unknown ids and null labels are passed over; repeated rows agree; an empty table gives no rows.
+rows among such examples, or among all if each example has a term; without any example the score is 0; texts and words of
+any length are read whole; an id labelled more than once counts as toxic if one label says so; labels of unknown ids and
+null labels are passed over; repeated rows agree; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelweave.llm.common import hash_fraction, slices, train_rows
+from voxelweave.llm.common import hash_fraction, kernel, slices, train_rows
 
-EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 6000, 4000, 25, 64
+EXAMPLES, NEIGHBOURS, BLOCK, COMMON = 4000, 5, 64, 0.2
 RUN = re.compile(r"[^\W\d_]+")
-#: A word also counts as its first letters, so that inflected and compounded forms share a term.
-STEMS = (4, 5, 6)
+#: Letters of the word beginnings that may be chosen as terms, so that inflected and compounded forms share one.
+STEMS = (4, 5, 6, 7, 8)
 
 
-def forms(word: str) -> list[str]:
-    return [word, *(word[:n] + "-" for n in STEMS if len(word) > n)]
+def beginnings(word: str) -> list[str]:
+    return [word[:n] + "-" for n in STEMS if len(word) > n]
 
 
 class Terms:
     """Counts the vocabulary's terms in texts; what recent tokens hold is kept, ``room`` tokens at most."""
 
-    def __init__(self, vocabulary: dict[str, int] | None, room: int = 150_000):
+    def __init__(self, vocabulary: dict[str, int], room: int = 200_000):
         self.vocabulary, self.room = vocabulary, room
+        self.heads = {x[: STEMS[0]] for x in vocabulary if x.endswith("-")}
         self.seen: dict[str, tuple[int, ...]] = {}
 
     def miss(self, token: str) -> tuple[int, ...]:
         if len(self.seen) > self.room:
             self.seen.clear()
-        found = self.seen[token] = tuple(k for w in RUN.findall(token) for x in forms(w) if (k := self.vocabulary.get(x)) is not None)
-        return found
+        get, heads, first = self.vocabulary.get, self.heads, STEMS[0]
+        found = []
+        for w in (token,) if token.isalpha() else RUN.findall(token):
+            if (k := get(w)) is not None:
+                found.append(k)
+            if w[:first] in heads:
+                found += [k for x in beginnings(w) if (k := get(x)) is not None]
+        self.seen[token] = out = tuple(found)
+        return out
+
+    def present(self, text: str | None) -> set[int]:
+        out: set[int] = set()
+        get, miss = self.seen.get, self.miss
+        for token in set(text.lower().split()) if text else ():
+            found = get(token)
+            if found is None:
+                found = miss(token)
+            if found:
+                out.update(found)
+        return out
 
     def counts(self, text: str | None) -> dict[int, int]:
         out: dict[int, int] = {}
@@ -61,21 +83,20 @@ class Terms:
 
 
 def word_presence(batches):
-    """toxic, word, c: examples in which each word occurs; flushed when large."""
+    """word, toxic, c: examples in which each word or beginning occurs; flushed when large."""
     seen: Counter = Counter()
 
     def flush():
-        rows = list(seen.items())
+        rows = iter(seen.items())
+        while part := list(islice(rows, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in part], pa.string()), pa.array([k[1] for k, _ in part], pa.int32()), pa.array([c for _, c in part], pa.int64())], names=["word", "toxic", "c"])
         seen.clear()
-        for at in range(0, len(rows), 20000):
-            part = rows[at : at + 20000]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in part], pa.int32()), pa.array([k[1] for k, _ in part], pa.string()), pa.array([c for _, c in part], pa.int64())], names=["toxic", "word", "c"])
 
-    for b in slices(batches):
+    for b in slices(batches, 64):
         for toxic, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-            seen.update((toxic, x) for x in {x for w in set(RUN.findall((text or "").lower())) if len(w) < 100 for x in forms(w)})
-        if len(seen) > 200_000:
-            yield from flush()
+            seen.update((x, toxic) for x in {x for w in set(RUN.findall((text or "").lower())) for x in (w, *beginnings(w))})
+            if len(seen) > 100_000:
+                yield from flush()
     yield from flush()
 
 
@@ -88,20 +109,21 @@ def examples(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str
     return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
 
 
-def choose_terms(rows: DataFrame, most: int, least_z: float, least_count: int) -> list[str]:
+def choose_terms(rows: DataFrame, least_z: float, least_count: int) -> list[tuple[str, float]]:
+    """(term, factor of its weight). Their number is bounded by the words of the sampled examples."""
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    if not n1:
+    if not n1 + n0:
         return []
-    by = rows.mapInArrow(word_presence, "toxic int, word string, c long").groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("c")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(F.col("c"))).alias("b"))
-    by = by.where(F.col("a") >= least_count)
-    n = float(n1 + n0)
-    share = (F.col("a") + F.col("b")) / n
+    by = kernel(rows, word_presence, "word string, toxic int, c long").groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("c")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(F.col("c"))).alias("b"))
+    n, seen = float(n1 + n0), F.col("a") + F.col("b")
     part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
-    gain = part(F.col("a"), n1 * share) + part(F.col("b"), n0 * share) + part(n1 - F.col("a"), n1 * (1 - share)) + part(n0 - F.col("b"), n0 * (1 - share))
-    lift = F.col("a") / n1 > 2 * F.col("b") / F.lit(float(max(n0, 1)))
-    best = by.where(lift).withColumn("z", F.sqrt(2 * F.greatest(gain, F.lit(0.0)))).where(F.col("z") >= least_z).orderBy(F.desc("z"), "word").limit(most)
-    return [r["word"] for r in best.select("word").collect()]
+    gain = part(F.col("a"), n1 * seen / n) + part(F.col("b"), n0 * seen / n) + part(n1 - F.col("a"), n1 * (1 - seen / n)) + part(n0 - F.col("b"), n0 * (1 - seen / n))
+    lift = (F.col("a") >= least_count) & (F.col("a") * float(max(n0, 1)) > 2.0 * n1 * F.col("b"))
+    by = by.withColumn("z", F.when(lift, F.sqrt(2 * F.greatest(gain, F.lit(0.0)))).otherwise(0.0))
+    plain = ~F.col("word").endswith("-") & (seen >= 2) & (seen <= COMMON * n)
+    best = by.where((F.col("z") >= least_z) | plain).select("word", F.when(F.col("z") >= least_z, F.col("z")).otherwise(1.0).alias("factor"))
+    return sorted((r["word"], r["factor"]) for r in best.collect())
 
 
 def frequencies(documents: DataFrame, text_col: str, vocabulary: dict[str, int]) -> tuple[np.ndarray, int]:
@@ -111,65 +133,100 @@ def frequencies(documents: DataFrame, text_col: str, vocabulary: dict[str, int])
     def run(batches):
         terms, total, n = Terms(shared.value), np.zeros(len(shared.value), np.int64), 0
         for b in slices(batches):
-            for text in b.column(0).to_pylist():
-                n += 1
-                for k in terms.counts(text):
-                    total[k] += 1
+            found = [terms.present(text) for text in b.column(0).to_pylist()]
+            n += len(found)
+            size = sum(map(len, found))
+            total += np.bincount(np.fromiter((k for x in found for k in x), np.int64, size), minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int64()), pa.array(np.append(total[some], n), pa.int64())], names=["term", "n"])
 
     out, n = np.zeros(len(vocabulary), np.int64), 0
-    for r in documents.select(F.col(text_col).alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        if r["term"] < 0:
-            n = r["n"]
+    counted = kernel(documents.select(F.col(text_col).alias("text")), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    for term, c in zip(counted.column("term").to_pylist(), counted.column("n").to_pylist()):
+        if term < 0:
+            n = c
         else:
-            out[r["term"]] = r["n"]
+            out[term] = c
     return out, n
 
 
+def ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges [start, end) in a row, and how many each has."""
+    size = end - start
+    total = int(size.sum())
+    return np.arange(total) + np.repeat(start - (np.cumsum(size) - size), size), size
+
+
 class BlockMaxIndex:
-    """Postings of unit vectors, ordered by example; bounds[t, b] is term t's largest weight in block b."""
+    """Postings of unit vectors (term numbers, weights), by term, then example. An entry is a term's part in one block: its
+    block, where its postings begin, and its largest weight."""
 
-    def __init__(self, vectors: list[dict[int, float]], ids: list[int], toxic: list[int], n_terms: int):
-        order = sorted(range(len(vectors)), key=lambda i: (min(((-w, t) for t, w in vectors[i].items()), default=(0, 0))[1], ids[i]))
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], ids: list[int], toxic: list[int], n_terms: int):
+        heaviest = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
+        order = sorted(range(len(vectors)), key=lambda i: (heaviest[i], ids[i]))
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.toxic = np.array([toxic[i] for i in order], np.int64)
-        self.vectors = [vectors[i] for i in order]
-        self.n_blocks = -(-len(order) // BLOCK)
-        self.bounds = np.zeros((n_terms, self.n_blocks))
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for k, v in enumerate(self.vectors):
-            for t, w in v.items():
-                postings[t].append((k, w))
-                self.bounds[t, k // BLOCK] = max(self.bounds[t, k // BLOCK], w)
-        self.rows = [np.array([k for k, _ in p], np.int64) for p in postings]
-        self.weights = [np.array([w for _, w in p]) for p in postings]
-        edges = np.arange(self.n_blocks + 1) * BLOCK
-        self.starts = [np.searchsorted(r, edges) for r in self.rows]
-
-    def nearest(self, query: dict[int, float], k: int, leave_out: int = -1) -> list[tuple[float, int]]:
-        """Up to k (similarity, example) with similarity over 0, by falling similarity, then order. Exact."""
-        terms = [t for t in query if len(self.rows[t])]
-        if not terms:
-            return []
-        q = np.array([query[t] for t in terms])
-        bound = q @ self.bounds[terms]
-        found: list[tuple[float, int]] = []
+        self.n, self.n_blocks = len(order), -(-len(order) // BLOCK)
+        empty = [np.zeros(0, np.int64)]
+        term = np.concatenate([vectors[i][0] for i in order] or empty).astype(np.int64)
+        weight = np.concatenate([vectors[i][1] for i in order] or empty).astype(np.float64)
+        row = np.repeat(np.arange(self.n), [len(vectors[i][0]) for i in order])
+        by = np.lexsort((row, term))
+        term, self.weights, self.rows = term[by], weight[by], row[by]
+        block = self.rows // BLOCK
+        new = np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))[: len(term)]
+        self.entry = np.append(np.flatnonzero(new), len(term))
+        self.block = block[self.entry[:-1]]
+        self.most = np.maximum.reduceat(self.weights, self.entry[:-1]) if len(term) else np.zeros(0)
+        self.first = np.searchsorted(term[self.entry[:-1]], np.arange(n_terms + 1))
+
+    def vector(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Example k's terms and weights, from the postings."""
+        at = np.flatnonzero(self.rows == k)
+        entry = np.searchsorted(self.entry, at, side="right") - 1
+        return np.searchsorted(self.first, entry, side="right") - 1, self.weights[at]
+
+    def similarities(self, entry: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Of all examples, as far as these entries, with the query's weights for them, go."""
+        at, size = ranges(self.entry[entry], self.entry[entry + 1])
+        return np.bincount(self.rows[at], np.repeat(q, size) * self.weights[at], self.n)
+
+    def all_similarities(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        start, end = self.entry[self.first[terms]].tolist(), self.entry[self.first[terms + 1]].tolist()
+        rows, own = (np.concatenate([x[a:b] for a, b in zip(start, end)]) for x in (self.rows, self.weights))
+        own *= np.repeat(weights, np.subtract(end, start))
+        return np.bincount(rows, own, self.n)
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Similarities and numbers of up to k examples with a similarity over 0, by falling similarity, then number.
+        Exact: blocks are read in two rounds, the most promising first, then those whose bound isn't below the k-th."""
+        entry, size = ranges(self.first[terms], self.first[terms + 1])
+        if not len(entry):
+            return np.zeros(0), np.zeros(0, np.int64)
+        q, block = np.repeat(weights, size), self.block[entry]
+        bound = np.bincount(block, q * self.most[entry], self.n_blocks)
+        found = np.zeros(self.n)
+        head = np.zeros(self.n_blocks, bool)
+        head[np.argsort(-bound, kind="stable")[: max(4, 2 * k // BLOCK)]] = True
         least = 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or bound[b] * (1 + 1e-12) < least:
+        for part in (head, None):
+            if part is None:
+                part = ~head & (bound > 0) & (bound * (1 + 1e-9) >= least)
+            chosen = part[block]
+            whole = chosen.sum() * 3 > len(chosen)  # of most blocks: whole postings are read faster than parts of them
+            if whole:
+                found = self.all_similarities(terms, weights)
+            elif chosen.any():
+                found += self.similarities(entry[chosen], q[chosen])
+            if leave_out >= 0:
+                found[leave_out] = 0
+            if self.n > k:
+                least = float(np.partition(found, self.n - k)[self.n - k])
+            if whole:
                 break
-            acc = np.zeros(BLOCK)
-            for t, w in zip(terms, q):
-                lo, hi = self.starts[t][b], self.starts[t][b + 1]
-                if lo < hi:
-                    acc[self.rows[t][lo:hi] - b * BLOCK] += w * self.weights[t][lo:hi]
-            found += [(-s, b * BLOCK + i) for i, s in zip(np.flatnonzero(acc).tolist(), acc[acc > 0].tolist()) if b * BLOCK + i != leave_out]
-            if len(found) >= k:
-                found.sort()
-                del found[k:]
-                least = -found[-1][0]
-        return [(-s, i) for s, i in sorted(found)[:k]]
+        some = np.flatnonzero(found >= least) if least > 0 else np.flatnonzero(found)
+        some = some[np.lexsort((some, -found[some]))][:k]
+        return found[some], some
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,51 +244,56 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, rows: list[tuple[int, int, dict[int, int]]], k: int):
-        self.vocabulary, self.idf, self.k = vocabulary, idf, k
+    """rows: (id, toxic, {term: count}) of the examples."""
+
+    def __init__(self, vocabulary: dict[str, int], scale: np.ndarray, rows: list[tuple[int, int, dict[int, int]]], k: int):
+        self.vocabulary, self.scale, self.k = vocabulary, scale, k
         vectors = [self.unit(c) for _, _, c in rows]
-        none = [t for (_, t, _), v in zip(rows, vectors) if not v]
-        self.base = (sum(none) + 0.5) / (len(none) + 1) if none else (0.5 if rows else 0.0)
-        some = [i for i, v in enumerate(vectors) if v]
+        none = [t for (_, t, _), (v, _) in zip(rows, vectors) if not len(v)] or [t for _, t, _ in rows]
+        self.base = (sum(none) + 0.5) / (len(none) + 1) if none else 0.0
+        some = sorted((i for i, (v, _) in enumerate(vectors) if len(v)), key=lambda i: rows[i][0])
         self.index = BlockMaxIndex([vectors[i] for i in some], [rows[i][0] for i in some], [rows[i][1] for i in some], len(vocabulary))
-        votes = np.array([self.vote(self.index.nearest(v, k, leave_out=i)) for i, v in enumerate(self.index.vectors)])
-        self.steps = isotonic(votes, self.index.toxic) if len(votes) else (np.zeros(0), np.zeros(0))
+        place = {int(d): k for k, d in enumerate(self.index.ids)}
+        votes = np.array([self.vote(*self.index.nearest(*vectors[i], k, leave_out=place[rows[i][0]])) for i in some])
+        self.steps = isotonic(votes, np.array([rows[i][1] for i in some])) if some else (np.zeros(0), np.zeros(0))
 
-    def unit(self, counts: dict[int, int]) -> dict[int, float]:
-        v = {t: (1 + np.log(c)) * self.idf[t] for t, c in counts.items()}
-        norm = np.sqrt(sum(w * w for w in v.values()))
-        return {t: float(w / norm) for t, w in v.items()} if norm > 0 else {}
+    def unit(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        terms = np.fromiter(counts, np.int64, len(counts))
+        w = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.scale[terms]
+        return terms, w / max(np.sqrt((w * w).sum()), 1e-300)
 
-    def vote(self, near: list[tuple[float, int]]) -> float:
+    def vote(self, similarity: np.ndarray, near: np.ndarray) -> float:
         """Share of toxic neighbours, weighted by squared similarity; one neighbour of similarity 0.25 has the base rate."""
-        weight = np.array([s * s for s, _ in near])
-        return float(((weight * self.index.toxic[[i for _, i in near]]).sum() + 0.0625 * self.base) / (weight.sum() + 0.0625)) if near else self.base
+        weight = similarity * similarity
+        return float(((weight * self.index.toxic[near]).sum() + 0.0625 * self.base) / (weight.sum() + 0.0625))
 
-    def score(self, counts: dict[int, int]) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.nearest(self.unit(counts), self.k)
-        if not near:
-            return self.base, []
-        at = int(np.searchsorted(self.steps[0], self.vote(near), side="right")) - 1
-        return float(self.steps[1][max(at, 0)]), near
+    def score(self, counts: dict[int, int]) -> tuple[float, np.ndarray, np.ndarray]:
+        similarity, near = self.index.nearest(*self.unit(counts), self.k)
+        if not len(near):
+            return self.base, similarity, near
+        at = int(np.searchsorted(self.steps[0], self.vote(similarity, near), side="right")) - 1
+        return float(self.steps[1][max(at, 0)]), similarity, near
 
 
-def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = EXAMPLES, terms: int = TERMS, k: int = NEIGHBOURS, least_z: float = 4.5, least_count: int = 4) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = EXAMPLES, k: int = NEIGHBOURS, least_z: float = 4.5, least_count: int = 4) -> Model:
     rows = examples(documents, labels, id_col, text_col, label_col, most).persist()
-    chosen = choose_terms(rows, terms, least_z, least_count)
-    vocabulary = {w: i for i, w in enumerate(chosen)}
+    chosen = choose_terms(rows, least_z, least_count)
+    vocabulary = {w: i for i, (w, _) in enumerate(chosen)}
     df, n = frequencies(documents, text_col, vocabulary) if chosen else (np.zeros(0, np.int64), 0)
-    idf = np.log((n + 1) / (df + 1)) + 1
+    scale = (np.log((n + 1) / (df + 1)) + 1) * np.array([f for _, f in chosen])
+    shared = documents.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches):
-        counter = Terms(vocabulary)
+        counter = Terms(shared.value)
         for b in slices(batches):
             found = [counter.counts(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(c) for c in found], pa.list_(pa.int64())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))], names=["doc_id", "toxic", "terms", "counts"])
 
-    seen = rows.mapInArrow(run, "doc_id long, toxic int, terms array<long>, counts array<long>").collect()
+    seen = kernel(rows, run, "doc_id long, toxic int, terms array<long>, counts array<long>").toArrow()
     rows.unpersist()
-    found = sorted((r["doc_id"], r["toxic"], sorted(zip(r["terms"], r["counts"]))) for r in seen)
-    return Model(vocabulary, idf, [(i, t, dict(c)) for i, t, c in found], k)
+    # rows that repeat an id are one example
+    found = {i: (i, t, dict(sorted(zip(x, c)))) for i, t, x, c in sorted(zip(*(seen.column(c).to_pylist() for c in seen.column_names)))}
+    return Model(vocabulary, scale, list(found.values()), k)
 
 
 def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
@@ -241,22 +303,12 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
     def run(batches):
         model = shared.value
-        terms, known = Terms(model.vocabulary), {}
-
-        def one(text):
-            counts = terms.counts(text)
-            key = tuple(sorted(counts.items()))
-            if key not in known:
-                if len(known) > 20_000:
-                    known.clear()
-                value, near = model.score(counts)
-                known[key] = value, [{"doc_id": int(model.index.ids[i]), "similarity": s, "toxic": int(model.index.toxic[i])} for s, i in near[:5]]
-            return known[key]
-
+        terms, index = Terms(model.vocabulary), model.index
         for b in slices(batches):
-            found = [one(t) for t in b.column(2).to_pylist()]
-            scores = [min(1.0, max(0.0, s)) for s, _ in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array([e for _, e in found], kind)], names=["doc_id", "held_out", "score", "predicted", "evidence"])
+            found = [model.score(terms.counts(t)) for t in b.column(2).to_pylist()]
+            scores = [min(1.0, max(0.0, s)) for s, _, _ in found]
+            evidence = [[{"doc_id": d, "similarity": s, "toxic": t} for d, s, t in zip(index.ids[near].tolist(), similarity.tolist(), index.toxic[near].tolist())] for _, similarity, near in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(evidence, kind)], names=["doc_id", "held_out", "score", "predicted", "evidence"])
 
     rows = train_rows(documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", "held_out", "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id: long, similarity: double, toxic: int>>")
+    return kernel(rows, run, "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id: long, similarity: double, toxic: int>>")
