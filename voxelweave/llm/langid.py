@@ -18,13 +18,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelweave.llm.common import hash_fraction, slices, train_rows
+from voxelweave.llm.common import hash_fraction, kernel, slices, train_rows
 
 RUN = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -33,6 +34,8 @@ LONGEST = 5
 BLOCK = 100
 #: Starts a block of a longer run; no letter.
 PART = "+"
+#: Different entries that a counting task holds at most before it passes them on.
+HELD = 60_000
 
 
 def letter_runs(text: str) -> list[str]:
@@ -58,83 +61,81 @@ def grams(word: str, n: int) -> list[str]:
     return [edged[i : i + n] for i in range(len(edged) - n + 1)]
 
 
+def flushed(seen: Counter, *names: str):
+    """Batches of the counter's entries, whose keys are tuples; it is empty afterwards."""
+    rows = iter(seen.items())
+    while part := list(islice(rows, 10_000)):
+        keys = [pa.array(x, pa.int32() if name == "n" else pa.string()) for name, x in zip(names, zip(*(k for k, _ in part)))]
+        yield pa.RecordBatch.from_arrays([*keys, pa.array([c for _, c in part], pa.int64())], names=[*names, "c"])
+    seen.clear()
+
+
 def count_words(batches):
     """lang, word, c; flushed now and then, so that memory is bounded."""
     seen: Counter = Counter()
-
-    def flush():
-        rows = list(seen.items())
-        seen.clear()
-        for at in range(0, len(rows), 20000):
-            part = rows[at : at + 20000]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in part]), pa.array([k[1] for k, _ in part]), pa.array([c for _, c in part], pa.int64())], names=["lang", "word", "c"])
-
-    for b in slices(batches):
+    for b in slices(batches, 64):
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             for word, c in Counter(letter_runs(text)).items():
                 for part in blocks(word):
                     seen[lang, part] += c
-        if len(seen) > 200_000:
-            yield from flush()
-    yield from flush()
+            if len(seen) > HELD:
+                yield from flushed(seen, "lang", "word")
+    yield from flushed(seen, "lang", "word")
 
 
 def count_grams(batches):
+    """lang, n, gram, c."""
     seen: Counter = Counter()
-
-    def flush():
-        rows = list(seen.items())
-        seen.clear()
-        for at in range(0, len(rows), 20000):
-            part = rows[at : at + 20000]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in part]), pa.array([k[1] for k, _ in part], pa.int32()), pa.array([k[2] for k, _ in part]), pa.array([c for _, c in part], pa.int64())], names=["lang", "n", "gram", "c"])
-
     for b in slices(batches, 4096):
         for lang, word, c in zip(*(b.column(k).to_pylist() for k in range(3))):
             for n in range(1, LONGEST + 1):
                 for g in grams(word, n):
                     seen[lang, n, g] += c
-        if len(seen) > 200_000:
-            yield from flush()
-    yield from flush()
+            if len(seen) > HELD:
+                yield from flushed(seen, "lang", "n", "gram")
+    yield from flushed(seen, "lang", "n", "gram")
 
 
 class Model:
-    """langs; words and grams: entry -> row of scores, each row's log-probabilities normalised over the languages."""
+    """langs; table: a row of scores for each entry, log-probabilities normalised over the languages; words and grams:
+    entry -> its row."""
 
     def __init__(self, langs: list[str], words: list[tuple], gram_rows: list[tuple], smooth: float = 0.5):
         self.langs = langs
         at = {x: k for k, x in enumerate(langs)}
-        self.words: dict[str, np.ndarray] = {}
-        self.grams: dict[str, np.ndarray] = {}
-        self._fill(self.words, [(lang, word, c) for lang, word, c in words], at, smooth)
+        self.words: dict[str, int] = {}
+        self.grams: dict[str, int] = {}
+        tables = [np.zeros((0, len(langs)), np.float32), self._scores(self.words, [(lang, word, c) for lang, word, c in words], at, smooth, 0)]
         for n in range(1, LONGEST + 1):
-            self._fill(self.grams, [(lang, g, c) for lang, m, g, c in gram_rows if m == n], at, smooth)
+            tables.append(self._scores(self.grams, [(lang, g, c) for lang, m, g, c in gram_rows if m == n], at, smooth, sum(map(len, tables))))
+        self.table = np.concatenate(tables)
 
     @staticmethod
-    def _fill(into: dict, rows: list[tuple], at: dict, smooth: float) -> None:
+    def _scores(into: dict[str, int], rows: list[tuple], at: dict[str, int], smooth: float, first: int) -> np.ndarray:
+        """The scores of the rows' entries, whose numbers go on from ``first``."""
         names = {x: k for k, x in enumerate(dict.fromkeys(x for _, x, _ in rows))}
         table = np.full((len(names), len(at)), smooth)
         for lang, x, c in rows:
             table[names[x], at[lang]] += c
         table = np.log(table / np.maximum(table.sum(axis=0), 1))
         top = table.max(axis=1, keepdims=True) if len(names) else table
-        table = table - top - np.log(np.exp(table - top).sum(axis=1, keepdims=True))
-        into.update({x: table[k].astype(np.float32) for x, k in names.items()})
+        into.update({x: first + k for x, k in names.items()})
+        return (table - top - np.log(np.exp(table - top).sum(axis=1, keepdims=True))).astype(np.float32)
 
     def word(self, word: str) -> np.ndarray:
         known = self.words.get(word)
         if known is not None:
-            return known
-        total, of = np.zeros(len(self.langs), np.float32), 0
+            return self.table[known]
+        total, of, get = np.zeros(len(self.langs), np.float32), 0, self.grams.get
         for part in blocks(word):
             letters = len(grams(part, 1))
             for n in range(LONGEST, 0, -1):
-                found = [r for g in grams(part, n) if (r := self.grams.get(g)) is not None]
+                found = [r for g in grams(part, n) if (r := get(g)) is not None]
                 if found:
+                    mean = self.table[found].mean(axis=0)
                     if len(word) <= BLOCK:
-                        return sum(found) / len(found)
-                    total += sum(found) / len(found) * letters
+                        return mean
+                    total += mean * letters
                     break
             of += letters
         return total / max(1, of)
@@ -150,7 +151,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
         return Model([], [], [])
     share = F.create_map(*(x for r in per for x in (F.lit(r["lang"]), F.lit(min(1.0, docs_per_language / r["n"])))))
     sample = rows.where(hash_fraction("doc_id", F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))).select("lang", "text")
-    counted = sample.mapInArrow(count_words, "lang string, word string, c long").groupBy("lang", "word").agg(F.sum("c").alias("c"))
+    counted = kernel(sample, count_words, "lang string, word string, c long").groupBy("lang", "word").agg(F.sum("c").alias("c"))
     counted = counted.persist()
     most = max(100, min(entries, 8_000_000 // len(per)) // (2 * len(per)))  # each entry has a score for each language
 
@@ -159,7 +160,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
         return [tuple(r) for r in counts.withColumn("k", F.row_number().over(best)).where(F.col("k") <= n).drop("k").collect()]
 
     words = top(counted.where((F.length("word") <= BLOCK) & ~F.col("word").startswith(PART)).select("lang", "word", "c"), ["lang"], "word", most)
-    gram_counts = counted.mapInArrow(count_grams, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
+    gram_counts = kernel(counted, count_grams, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
     gram_rows = top(gram_counts.select("lang", "n", "gram", "c"), ["lang", "n"], "gram", max(50, most // LONGEST))
     counted.unpersist()
     langs = sorted({r[0] for r in words} | {r[0] for r in gram_rows})
@@ -215,7 +216,7 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = train_rows(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    return rows.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return kernel(rows.select("doc_id", "held_out", "text"), run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -230,4 +231,4 @@ def keep_identified(df: DataFrame, model: Model, text_col: str = "text", least:
             keep = pa.array([x != UNKNOWN and s >= least for x, s in found], pa.bool_())
             yield pa.RecordBatch.from_arrays([c.filter(keep) for c in b.columns], schema=b.schema)
 
-    return df.mapInArrow(run, df.schema)
+    return kernel(df, run, df.schema)
