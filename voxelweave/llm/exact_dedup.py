@@ -1,13 +1,15 @@
 """Exact dedup with Patricia-trie owners.
 
-Texts are equal when identical after deleting every character of ``[\\x20\\x09-\\x0D]``. Each map task inserts its full
-byte strings, keyed by length and content hash, into a compressed radix trie whose terminals hold the best row so far
-(most code points, then smallest id). The terminals are dealt out by (length, hash), sorted, and merged by tries again,
-so a text copied a million times reaches a merging task once for each map task and no more. A trie that outgrows its
-memory limit spills its largest subtree: the subtree's terminals are emitted as partial rows, which later tries merge.
+Texts are equal when identical after deleting every character of ``[\\x20\\x09-\\x0D]``. Each map task has a compressed
+radix trie for each of ``PARTS`` partitions by length and content hash, and inserts the full byte strings; terminals hold
+the best row so far (most code points, then smallest id). The terminals are dealt out by (length, hash), sorted, and
+merged by tries again, so a text copied a million times reaches a merging task once for each map task and no more. When a
+task's tries outgrow their memory limit, the largest spills its largest subtrees: their terminals are emitted as partial
+rows, which later tries merge.
 
 Defined cases: null text counts as empty; null ids sort last and can own a group only if all its ids are null; of
-repeated rows (same id, same text) one is kept; an empty table gives no rows; other columns are left alone.
+repeated rows (same id, same text) one is kept; a very long text is one label of a trie and counts towards its limit; an
+empty table gives no rows; other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,9 +22,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelweave.llm.common import WS_BYTES, slices
+from voxelweave.llm.common import FEW_IDS, WS, WS_BYTES, fresh, kernel, materialise, slices
 
 LARGEST = (1 << 63) - 1
+PARTS = 16
 
 
 class Node:
@@ -79,12 +82,13 @@ class PatriciaTrie:
             stack += [(kid, whole) for kid in node.kids.values()]
 
     def spill(self) -> Iterator[tuple[bytes, list]]:
-        """Takes out the largest subtree under the first fork and yields its terminals."""
+        """Takes out the largest subtrees under the first fork, half of the trie's weight at least, and yields their
+        terminals; so each node is weighed a few times in all."""
         node, prefix = self.root, b""
         while len(node.kids) == 1 and node.owner is None:
             prefix, node = prefix + node.label, next(iter(node.kids.values()))
         if not node.kids:  # a single terminal is left
-            yield from self.items()
+            yield from list(self.items())
             self.__init__()
             return
 
@@ -97,21 +101,24 @@ class PatriciaTrie:
             return total
 
         sizes = {k: weight(kid) for k, kid in node.kids.items()}
-        first = max(sizes, key=sizes.get)
-        kid = node.kids.pop(first)
-        self.bytes -= sizes[first]
-        for item in self.items(kid, prefix + node.label):
-            self.terminals -= 1
-            yield item
+        goal, gone = sum(sizes.values()) / 2, 0
+        for first in sorted(sizes, key=sizes.get, reverse=True):
+            if gone >= goal:
+                break
+            gone += sizes[first]
+            kid = node.kids.pop(first)
+            self.bytes -= sizes[first]
+            for item in self.items(kid, prefix + node.label):
+                self.terminals -= 1
+                yield item
 
 
 def normalise(text: str | None) -> bytes:
     return text.encode("utf-8", "replace").translate(None, WS_BYTES) if text else b""
 
 
-def trie_key(norm: bytes) -> bytes:
-    """Length and content hash lead, so that a trie branches early; the full byte string follows."""
-    return len(norm).to_bytes(8, "big") + xxhash.xxh64_digest(norm) + norm
+def content_hash(norm: bytes) -> int:
+    return int.from_bytes(xxhash.xxh64_digest(norm), "big", signed=True)
 
 
 PARTIAL = "n_bytes long, content_hash long, norm binary, n_rows long, best_chars long, best_id long"
@@ -126,7 +133,7 @@ def emit(items, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["n_bytes", "content_hash", "norm", "n_rows", "best_chars", "best_id"])
 
     for key, (count, rank) in items:
-        rows.append((int.from_bytes(key[:8], "big"), int.from_bytes(key[8:16], "big", signed=True), key[16:], count, -rank[0], None if rank[1] else rank[2]))
+        rows.append((len(key), content_hash(key), key, count, -rank[0], None if rank[1] else rank[2]))
         held += len(key)
         if held > size:
             yield batch()
@@ -137,13 +144,21 @@ def emit(items, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
 
 def partial_tries(limit: int):
     def run(batches):
-        trie = PatriciaTrie()
+        tries, held = [PatriciaTrie() for _ in range(PARTS)], 0
         for b in slices(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                trie.insert(trie_key(normalise(text)), 1, len(text or ""), doc_id)
-                while trie.bytes > limit:
+                norm = normalise(text)
+                trie = tries[(len(norm) + content_hash(norm)) % PARTS]
+                held -= trie.bytes
+                trie.insert(norm, 1, len(text or ""), doc_id)
+                held += trie.bytes
+                while held > limit:
+                    trie = max(tries, key=lambda t: t.bytes)
+                    held -= trie.bytes
                     yield from emit(trie.spill())
-        yield from emit(trie.items())
+                    held += trie.bytes
+        for trie in tries:
+            yield from emit(trie.items())
 
     return run
 
@@ -156,19 +171,19 @@ def merge_tries(batches):
         nonlocal trie, last
         for b in slices(batches):
             cols = [b.column(k).to_pylist() for k in range(6)]
-            for n_bytes, content_hash, norm, count, chars, doc_id in zip(*cols):
-                if last not in (None, (n_bytes, content_hash)):
+            for n_bytes, code, norm, count, chars, doc_id in zip(*cols):
+                if last not in (None, (n_bytes, code)):
                     yield from trie.items()
                     trie = PatriciaTrie()
-                last = (n_bytes, content_hash)
-                trie.insert(n_bytes.to_bytes(8, "big") + content_hash.to_bytes(8, "big", signed=True) + norm, count, chars, doc_id)
+                last = (n_bytes, code)
+                trie.insert(norm, count, chars, doc_id)
         yield from trie.items()
 
     rows = []
     names = ["text_sha256", "keep_id", "keep_chars", "group_size"]
     types = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
     for key, (count, rank) in groups():
-        rows.append((hashlib.sha256(key[16:]).hexdigest(), None if rank[1] else rank[2], -rank[0], count))
+        rows.append((hashlib.sha256(key).hexdigest(), None if rank[1] else rank[2], -rank[0], count))
         if len(rows) >= 5000:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
             rows = []
@@ -186,15 +201,15 @@ def members(batches):
 def groups_of_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_mb: int = 48) -> DataFrame:
     """text_sha256, keep_id, keep_chars, group_size: one row for each different normalised text."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    partial = rows.mapInArrow(partial_tries(trie_mb << 20), PARTIAL)
+    partial = kernel(rows, partial_tries(trie_mb << 20), PARTIAL)
     dealt = partial.repartition("n_bytes", "content_hash").sortWithinPartitions("n_bytes", "content_hash")
-    return dealt.mapInArrow(merge_tries, "text_sha256 string, keep_id long, keep_chars long, group_size long")
+    return kernel(dealt, merge_tries, "text_sha256 string, keep_id long, keep_chars long, group_size long")
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    light = rows.mapInArrow(members, "doc_id long, n_chars_text long, text_sha256 string")
+    light = kernel(rows, members, "doc_id long, n_chars_text long, text_sha256 string")
     light = light.groupBy("doc_id", "text_sha256", "n_chars_text").agg(F.count("*").alias("copies"))
     joined = light.join(groups_of_copies(df, id_col, text_col), "text_sha256")
     best = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars_text") == F.col("keep_chars"))
@@ -203,18 +218,31 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that stay, with df's own columns."""
+    """The rows of df that stay, with df's own columns.
+
+    The dropped are named by id and text and taken out of df by an anti-join, which needs no shuffle of df while they are
+    few. An id and text that several rows share can be both kept and dropped; of such rows the longest stays, then the
+    first by its other columns.
+    """
     from pyspark.sql import Window
 
     names = df.columns
-    keyed = with_sha(df, text_col)
-    kept = exact_dedup(df, id_col, text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__key"))
-    chars = F.char_length(F.coalesce(F.col(text_col), F.lit("")))
-    joined = keyed.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__key")))
-    first = Window.partitionBy(id_col, "__sha").orderBy(chars.desc(), *(F.col(c).cast("string") for c in names if c not in (id_col, text_col)))
-    return joined.withColumn("__n", F.row_number().over(first)).where("__n = 1").select(*names)
-
-
-def with_sha(df: DataFrame, text_col: str) -> DataFrame:
-    clean = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), "[\\x20\\x09-\\x0D]+", "")
-    return df.withColumn("__sha", F.sha2(clean, 256))
+    sha, by_id, by_sha, rank = fresh(df, "sha", "by_id", "by_sha", "rank")
+    found = materialise(exact_dedup(df, id_col, text_col).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"), "copies", df)
+    clean = F.translate(F.coalesce(F.col(text_col), F.lit("")), WS, "")
+    keyed = df.withColumn(sha, F.sha2(clean, 256))
+
+    def named(rows: DataFrame):
+        rows = rows.select(F.col("doc_id").alias(by_id), F.col("text_sha256").alias(by_sha))
+        return F.broadcast(rows) if rows.count() <= FEW_IDS else rows
+
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(by_id)) & (F.col(sha) == F.col(by_sha))
+    left = keyed.join(named(found.where("not kept")), same, "left_anti")
+    again = found.where("kept")
+    if not again.isEmpty():
+        again = named(again)
+        chars = F.char_length(F.coalesce(F.col(text_col), F.lit("")))
+        first = Window.partitionBy(id_col, sha).orderBy(chars.desc(), *(F.col(c).cast("string") for c in names if c not in (id_col, text_col)))
+        one = left.join(again, same, "left_semi").withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1)
+        left = left.join(again, same, "left_anti").select(*names).unionByName(one.select(*names))
+    return left.select(*names)

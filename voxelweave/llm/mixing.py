@@ -18,13 +18,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelweave.llm.common import materialise
+from voxelweave.llm.common import fresh, materialise
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP, BLOCK = 1.5, 2, 128
 #: frac(golden ratio) and frac(2**20 * golden ratio), for points that keep their precision for any t.
 PHI, PHI_HIGH = 0.6180339887498949, (0.6180339887498949 * (1 << 20)) % 1.0
-BUCKETS = 64
 
 
 def sizes(df: DataFrame, text_col: str = "text"):
@@ -94,8 +93,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     """doc_id, size, source_size, target, taken: one row for each input row."""
     lean = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), sizes(df, text_col).alias("size"))
     lean = lean.groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
-    lean = materialise(lean, "mix-sizes")
-    by = materialise(targets(lean, weights, share, cap), "mix-targets")
+    lean = materialise(lean, "mix-sizes", df)
+    by = materialise(targets(lean, weights, share, cap), "mix-targets", df)
     rows = lean.join(by, lean["source"].eqNullSafe(by["source"])).select("n", "doc_id", "size", "copy", "source_size", "target")
     slots = schedule(by, block).groupBy("n", "block").agg(F.count("*").alias("times"))
     laid = stream(rows.where("size > 0"), int(cap), seed)
@@ -112,8 +111,9 @@ def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     Blocks cut the stream between two documents at its end alone, so all but one document of each source and round are
     taken as a whole or not at all, and rounding moves a source's words by about one document.
     """
+    doc_id, size, many, words, copy = fresh(df, "taken_id", "taken_size", "times", "words", "copy")
     taken = mix(df, id_col, text_col, source_col, **settings)
-    times = taken.where("size > 0").groupBy(F.col("doc_id").alias("__id"), F.col("size").alias("__size")).agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("__times")).where("__times > 0")
-    rows = df.withColumn("__words", sizes(df, text_col))
-    joined = rows.join(times, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__words") == F.col("__size")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*df.columns)
+    times = taken.where("size > 0").groupBy(F.col("doc_id").alias(doc_id), F.col("size").alias(size)).agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias(many)).where(F.col(many) > 0)
+    rows = df.withColumn(words, sizes(df, text_col))
+    joined = rows.join(times, F.col(id_col).eqNullSafe(F.col(doc_id)) & (F.col(words) == F.col(size)))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(many)))).select(*df.columns)

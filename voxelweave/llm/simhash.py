@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelweave.llm.common import materialise, slices
+from voxelweave.llm.common import FEW_IDS, discard, fresh, kernel, materialise, slices
 
 SEED, TAU, BLOCK = 42, 3, 4096
 #: tau -> segments of the chain whose budgets make the keys, blocks of its rest.
@@ -67,7 +67,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             fps = [majority(shingle_hashes(t, width)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return kernel(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, fp long")
 
 
 def keys(fps: DataFrame, tau: int = TAU) -> DataFrame:
@@ -152,7 +152,7 @@ def unit_roots(fp: np.ndarray, unit: np.ndarray, start: np.ndarray, side: np.nda
         gap += 1
 
 
-def kernel(batches, tau: int, limit: int | None = None):
+def key_links(batches, tau: int, limit: int | None = None):
     """Sorted rows fp, key[, a, b, side] in; out: u, v, the first of u's local component, or large, a key with more than
     limit rows, of which no more are held. A key's call is never split between batches."""
     names = ("key", "a", "b")
@@ -212,21 +212,22 @@ def kernel(batches, tau: int, limit: int | None = None):
         yield from links(pa.Table.from_batches(held).combine_chunks())
 
 
-def links(fps: DataFrame, block: int = BLOCK, tau: int = TAU) -> DataFrame:
+def links(fps: DataFrame, block: int = BLOCK, tau: int = TAU, source: DataFrame | None = None) -> DataFrame:
     """u, v (u != v): links whose components are those of all pairs within tau. fps: different values of fp."""
     keyed, schema = keys(fps, tau), "u long, v long, large long"
-    first = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: kernel(batches, tau, block), schema)
-    first = materialise(first, "links")
+    first = kernel(keyed.repartition("key").sortWithinPartitions("key"), lambda batches: key_links(batches, tau, block), schema)
+    first = materialise(first, "links", source)
     edges = first.where("large is null").select("u", "v")
     large = first.where("large is not null").select(F.col("large").alias("key")).distinct()
     if not large.isEmpty():
         calls = units(keyed, large, block).repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
-        edges = edges.unionByName(calls.mapInArrow(lambda batches: kernel(batches, tau), schema).select("u", "v"))
+        edges = edges.unionByName(kernel(calls, lambda batches: key_links(batches, tau), schema).select("u", "v"))
     return edges.distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, label: label is the smallest node reachable. Alternating large-star and small-star rounds."""
+def components(edges: DataFrame, source: DataFrame | None = None, rounds: int = 60) -> DataFrame:
+    """node, label: label is the smallest node reachable. Alternating large-star and small-star rounds. source: the table
+    that the edges are made from, by whose size the rounds' tables get their files."""
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         if large:
@@ -244,12 +245,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     def state(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    edges = materialise(edges, "links")
+    edges = materialise(edges, "links", source)
     seen = state(edges)
     for _ in range(rounds):
         if not seen[0]:
             break
-        edges = materialise(star(star(edges, True), False), "stars")
+        before, edges = edges, materialise(star(star(edges, True), False), "stars", source)
+        discard(before)
         now = state(edges)
         if now == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
@@ -261,9 +263,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, block: int = BLOCK, tau: int = TAU) -> DataFrame:
     """doc_id, fp, component_id: one row for each input row."""
-    prints = materialise(fingerprints(df, id_col, text_col, width), "fingerprints")
+    prints = materialise(fingerprints(df, id_col, text_col, width), "fingerprints", df)
     by_fp = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    labels = components(links(by_fp.select("fp"), block, tau))
+    labels = components(links(by_fp.select("fp"), block, tau, df), df)
     named = by_fp.join(labels, by_fp["fp"] == labels["node"], "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
     owners = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     named = named.join(owners, "label").select("fp", "component_id")
@@ -275,5 +277,9 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     link at an exact Jaccard similarity of 0.8 or more of their shingle sets; fingerprints have no part in it."""
     from voxelweave.llm import jaccard  # which imports this module
 
-    gone = jaccard.near_copies(df, id_col, text_col, width).where("doc_id > component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    (name,) = fresh(df, "gone")
+    gone = jaccard.near_copies(df, id_col, text_col, width).where("doc_id > component_id").select(F.col("doc_id").alias(name)).distinct()
+    gone = materialise(gone, "near-gone", df)
+    if gone.count() <= FEW_IDS:  # else df meets them in a shuffle
+        gone = F.broadcast(gone)
+    return df.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")
