@@ -680,7 +680,7 @@ def test_block_max_search_is_exact():
 def test_toxicity_scores_equal_brute_force(spark):
     """The whole way from texts to scores, with dense vectors and plain loops."""
     rng = random.Random(12)
-    plain = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(150)]
+    plain = ["".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(900)]
     rows = [(i, " ".join([rng.choice(plain) for _ in range(rng.randint(3, 30))] + ["zorkish", "zorked."][: i % 5 == 0 and rng.randint(1, 2) or 0])) for i in range(300)]
     truth = {i: int(i % 5 == 0) for i, _ in rows}
     df, lab = documents(spark, rows), spark.createDataFrame(list(truth.items()), "doc_id long, toxic int")
@@ -699,7 +699,7 @@ def test_toxicity_scores_equal_brute_force(spark):
         z = np.sqrt(2 * max(0.0, part(a, n1 * share) + part(b, n0 * share) + part(n1 - a, n1 * (1 - share)) + part(n0 - b, n0 * (1 - share)))) if a >= 4 and a * n0 > 2 * n1 * b else 0
         if z >= 4.5:
             factor[w] = z
-        elif not w.endswith("-") and 2 <= a + b <= 0.2 * len(train):
+        elif not w.endswith("-") and 2 <= a + b <= toxicity.COMMON * len(train):
             factor[w] = 1.0
     terms = {w: k for k, w in enumerate(sorted(factor))}
     scale = {w: (np.log((len(rows) + 1) / (sum(w in forms(t) for _, t in rows) + 1)) + 1) * factor[w] for w in terms}
@@ -719,7 +719,7 @@ def test_toxicity_scores_equal_brute_force(spark):
         s = x @ v
         if leave_out is not None:
             s[leave_out] = 0
-        top = sorted(range(len(s)), key=lambda k: -s[k])[:5]
+        top = sorted(range(len(s)), key=lambda k: -s[k])[: toxicity.NEIGHBOURS]
         w = np.array([s[k] ** 2 for k in top if s[k] > 0])
         return (sum(a * y[k] for a, k in zip(w, [k for k in top if s[k] > 0])) + 0.0625 * base) / (w.sum() + 0.0625)
 

@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 
 from voxelweave.llm.common import hash_fraction, kernel, slices, train_rows
 
-EXAMPLES, NEIGHBOURS, BLOCK, COMMON = 4000, 5, 64, 0.2
+EXAMPLES, NEIGHBOURS, BLOCK, COMMON = 4000, 4, 64, 0.05
 RUN = re.compile(r"[^\W\d_]+")
+#: Marks around words that are taken off without a pattern.
+MARKS = ".,;:!?()'\"-"
 #: Letters of the word beginnings that may be chosen as terms, so that inflected and compounded forms share one.
 STEMS = (4, 5, 6, 7, 8)
 
@@ -51,7 +53,8 @@ class Terms:
             self.seen.clear()
         get, heads, first = self.vocabulary.get, self.heads, STEMS[0]
         found = []
-        for w in (token,) if token.isalpha() else RUN.findall(token):
+        bare = token.strip(MARKS)
+        for w in (bare,) if bare.isalpha() else RUN.findall(token):
             if (k := get(w)) is not None:
                 found.append(k)
             if w[:first] in heads:
@@ -191,12 +194,6 @@ class BlockMaxIndex:
         at, size = ranges(self.entry[entry], self.entry[entry + 1])
         return np.bincount(self.rows[at], np.repeat(q, size) * self.weights[at], self.n)
 
-    def all_similarities(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        start, end = self.entry[self.first[terms]].tolist(), self.entry[self.first[terms + 1]].tolist()
-        rows, own = (np.concatenate([x[a:b] for a, b in zip(start, end)]) for x in (self.rows, self.weights))
-        own *= np.repeat(weights, np.subtract(end, start))
-        return np.bincount(rows, own, self.n)
-
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Similarities and numbers of up to k examples with a similarity over 0, by falling similarity, then number.
         Exact: blocks are read in two rounds, the most promising first, then those whose bound isn't below the k-th."""
@@ -205,25 +202,20 @@ class BlockMaxIndex:
             return np.zeros(0), np.zeros(0, np.int64)
         q, block = np.repeat(weights, size), self.block[entry]
         bound = np.bincount(block, q * self.most[entry], self.n_blocks)
-        found = np.zeros(self.n)
         head = np.zeros(self.n_blocks, bool)
         head[np.argsort(-bound, kind="stable")[: max(4, 2 * k // BLOCK)]] = True
-        least = 0.0
-        for part in (head, None):
-            if part is None:
-                part = ~head & (bound > 0) & (bound * (1 + 1e-9) >= least)
-            chosen = part[block]
-            whole = chosen.sum() * 3 > len(chosen)  # of most blocks: whole postings are read faster than parts of them
-            if whole:
-                found = self.all_similarities(terms, weights)
-            elif chosen.any():
-                found += self.similarities(entry[chosen], q[chosen])
+        chosen = head[block]
+        found = self.similarities(entry[chosen], q[chosen])
+        if leave_out >= 0:
+            found[leave_out] = 0
+        seen = found[found > 0]
+        least = float(np.partition(seen, len(seen) - k)[len(seen) - k]) if len(seen) >= k else 0.0
+        rest = ~head & (bound * (1 + 1e-9) >= least)
+        chosen = rest[block]
+        if chosen.any():
+            found += self.similarities(entry[chosen], q[chosen])
             if leave_out >= 0:
                 found[leave_out] = 0
-            if self.n > k:
-                least = float(np.partition(found, self.n - k)[self.n - k])
-            if whole:
-                break
         some = np.flatnonzero(found >= least) if least > 0 else np.flatnonzero(found)
         some = some[np.lexsort((some, -found[some]))][:k]
         return found[some], some
