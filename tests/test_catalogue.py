@@ -9,11 +9,13 @@ import __spark_entry__ as entry
 from voxelweave.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
-FEW = ["q02_grid_bin", "q04_prefix_sum", "q06_knn_2d", "q09_ghosts_2d", "q12_halfplanes", "q23_hll_flux", "q28_params_parse"]
+#: With 150 points the image layers of these are too thin; they hold on the larger tables.
+THIN = {"q19_mesh_3d_volume_sum", "q33_image_cells"}
+NAMES = sorted(set(catalogue.oracle_sql()) - THIN)
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", FEW)
+@pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()

@@ -2,16 +2,18 @@
 
 import math
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxelweave.config import MeshConfig
+from voxelweave import lineage
+from voxelweave.config import STATUS, MeshConfig
 from voxelweave.functions import gas, geometry
 from voxelweave.operators import cellkernel, ghosts, grid, hydro, knn, prefix, voronoi
 from voxelweave.plans import simulation
-from voxelweave.sources import params, points, sinks
+from voxelweave.sources import hdf5, params, points, sinks
 
 CONFIG = MeshConfig(dim=2, k=24, buff=0.25)
 
@@ -33,13 +35,20 @@ def test_grid_clamps_and_sorts(spark):
 
 def test_running_sum_over_blocks(spark):
     df = spark.range(1000).select(F.col("id"), (F.col("id") % 7).alias("v"))
-    got = {r["id"]: r["s"] for r in prefix.running_sum(df, "id", F.col("v"), "s", block=64).collect()}
+    got = {r["id"]: r["s"] for r in prefix.running_sum(df, "id", F.col("v"), "s", ranges=7).collect()}
     total = 0
     for i in range(1000):
         assert got[i] == total
         total += i % 7
 
 
+def test_running_sum_of_sparse_orders(spark):
+    """Orders far apart don't make ranges of their own: there are as many totals as partitions, not as rows."""
+    df = spark.range(300).select((F.col("id") * 1_000_003 + F.col("id") % 7).alias("id"), F.lit(2).alias("v"))
+    rows = prefix.running_sum(df, "id", F.col("v"), "s", ranges=5).orderBy("id").collect()
+    assert [r["s"] for r in rows] == list(range(0, 600, 2))
+
+
 @pytest.mark.parametrize("dim", [2, 3])
 def test_knn_equals_brute_force(spark, dim):
     rows = scattered(120, dim) + [(1000 + i, *([0.5 + i * 1e-4] * dim)) for i in range(60)]  # a dense clump
@@ -66,6 +75,28 @@ def test_knn_in_clumps_equals_brute_force(spark, dim):
     assert got == want
 
 
+def test_knn_of_many_points_in_one_place(spark):
+    rows = [(i, 0.25, 0.5) for i in range(400)] + [(1000 + i, 0.25 + i * 1e-9, 0.5) for i in range(1, 30)] + scattered(30)[:0]
+    rows += [(5000 + i, *p[1:]) for i, p in enumerate(scattered(60))]
+    got = {(r["id"], r["rank"]): r["nb_id"] for r in knn.knn(made(spark, rows), 4).collect()}
+    want = {}
+    for i, *a in rows:
+        near = sorted((sum((u - v) * (u - v) for u, v in zip(a, b)), j) for j, *b in rows if j != i)[:4]
+        want |= {(i, k): j for k, (_, j) in enumerate(near)}
+    assert got == want
+
+
+def test_strict_search_needs_a_grid_and_ends_at_its_ring(spark):
+    with pytest.raises(ValueError, match="16 buckets"):
+        knn.knn(made(spark, scattered(100)), 4, strict=True)
+    corner = [(i, *(0.02 * x for x in p[1:])) for i, p in enumerate(scattered(3000))]
+    far = [(9000, 0.99, 0.99), (9001, 0.98, 0.02)]
+    found = knn.knn(made(spark, corner + far), 4, strict=True)
+    sure = {r["id"]: r["certified"] for r in found.select("id", "certified").distinct().collect()}
+    assert all(sure[i] for i, *_ in corner)
+    assert not sure.get(9000, False) and not sure.get(9001, False)
+
+
 def test_knn_with_fewer_points_than_k_and_with_ties(spark):
     p = made(spark, [(0, 0.1, 0.1), (1, 0.1, 0.1), (2, 0.9, 0.9)])
     rows = knn.knn(p, 5).collect()
@@ -112,15 +143,141 @@ def test_periodic_mesh_3d(spark):
     check_mesh(spark, cells, images, 9)
 
 
+def cut(points, k=None, limits=None, low=0.0, high=1.0):
+    """All cells of an array of points among their k nearest."""
+    points = np.array(points, float)
+    k = min(k or len(points) - 1, len(points) - 1)
+    d2 = ((points[:, None] - points[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d2, np.inf)
+    order = np.argsort(d2, axis=1, kind="stable")[:, :k]
+    kernel = cellkernel.cut_polygons if points.shape[1] == 2 else cellkernel.cut_polyhedra
+    return kernel(points, points[order], np.take_along_axis(d2, order, 1), np.full(len(points), k), low, high, limits), order, points
+
+
 def test_lattice_and_lone_point():
-    grid_points = [(i / 4 + 0.125, j / 4 + 0.125) for i in range(4) for j in range(4)]
-    seed = grid_points[5]
-    near = sorted((((x - seed[0]) ** 2 + (y - seed[1]) ** 2), k, x, y) for k, (x, y) in enumerate(grid_points) if (x, y) != seed)
-    cell = cellkernel.cell_2d(seed, [(k, x, y, d) for d, k, x, y in near], 0.0, 1.0)
-    assert cell["volume"] == pytest.approx(1 / 16)
-    alone = cellkernel.cell_2d((0.3, 0.3), [], 0.0, 1.0)
-    assert (alone["volume"], alone["status"], len(alone["faces"])) == (pytest.approx(1.0), "security_radius_not_reached", 4)
-    assert cellkernel.cell_3d((0.5, 0.5, 0.5), [], 0.0, 1.0)["volume"] == pytest.approx(1.0)
+    c, _, _ = cut([(i / 4 + 0.125, j / 4 + 0.125) for i in range(4) for j in range(4)])
+    assert c.volume == pytest.approx([1 / 16] * 16)
+    c, _, _ = cut([(i / 3 + 1 / 6, j / 3 + 1 / 6, k / 3 + 1 / 6) for i in range(3) for j in range(3) for k in range(3)])
+    assert c.volume == pytest.approx([1 / 27] * 27)
+    for kernel, d in ((cellkernel.cut_polygons, 2), (cellkernel.cut_polyhedra, 3)):
+        alone = kernel(np.full((1, d), 0.3), np.zeros((1, 1, d)), np.zeros((1, 1)), np.zeros(1, int), 0.0, 1.0)
+        assert (alone.volume[0], STATUS[alone.status[0]], len(alone.cell)) == (pytest.approx(1.0), "security_radius_not_reached", 2 * d)
+        none = kernel(np.zeros((0, d)), np.zeros((0, 1, d)), np.zeros((0, 1)), np.zeros(0, int), 0.0, 1.0)
+        assert len(none.volume) == len(none.cell) == 0
+
+
+def cells_by_vertices(points):
+    """Volume of each cell and area of each face, from all meeting points of three planes that no plane cuts off."""
+    from itertools import combinations
+
+    walls = np.array([(1, 0, 0, 0), (-1, 0, 0, 1), (0, 1, 0, 0), (0, -1, 0, 1), (0, 0, 1, 0), (0, 0, -1, 1)], float)
+    for s, seed in enumerate(points):
+        others = np.delete(points, s, axis=0)
+        a = seed - others
+        planes = np.vstack([walls, np.column_stack([a, -0.5 * ((seed + others) * a).sum(axis=1)])])
+        names = [-1 - k for k in range(6)] + [k for k in range(len(points)) if k != s]
+        triples = np.array(list(combinations(range(len(planes)), 3)))
+        m = planes[triples][:, :, :3]
+        ok = abs(np.linalg.det(m)) > 1e-12
+        v = np.linalg.solve(m[ok], -planes[triples[ok]][:, :, 3:])[:, :, 0]
+        v = v[(v @ planes[:, :3].T + planes[:, 3] > -1e-9).all(axis=1)]
+        volume, areas = 0.0, {}
+        for name, plane in zip(names, planes):
+            n = plane[:3] / np.linalg.norm(plane[:3])
+            on = v[abs(v @ n + plane[3] / np.linalg.norm(plane[:3])) < 1e-9]
+            if len(on) < 3:
+                continue
+            u = np.cross(n, [0.3, 0.5, 0.7])
+            arm = on - on.mean(axis=0)
+            ring = on[np.argsort(np.arctan2(arm @ np.cross(n, u), arm @ u))]
+            area = 0.5 * np.linalg.norm(np.cross(ring, np.roll(ring, -1, axis=0)).sum(axis=0))
+            volume += area * abs((on[0] - seed) @ n) / 3
+            if area > 1e-9:
+                areas[name] = area
+        yield volume, areas
+
+
+def test_solid_cells_equal_vertex_enumeration():
+    c, order, points = cut([p[1:] for p in scattered(30, 3, 11)])
+    for s, (volume, areas) in enumerate(cells_by_vertices(points)):
+        own = c.cell == s
+        got = {int(x) if x < 0 else int(order[s, x]): a for x, a in zip(c.label[own], c.area[own]) if a > 1e-9}
+        assert c.volume[s] == pytest.approx(volume)
+        assert got == pytest.approx(areas)
+        for f in np.flatnonzero(own):  # the rings turn about their faces in one sense, and lie in them
+            ring = c.verts[c.first[f] : c.first[f + 1]]
+            spread = (ring - ring[0]) @ c.normal[f]
+            assert abs(spread).max() < 1e-9
+            assert 0.5 * np.linalg.norm(np.cross(ring, np.roll(ring, -1, axis=0)).sum(axis=0)) == pytest.approx(c.area[f])
+
+
+def status_by_hand(seed, near, limits):
+    """Clipping one polygon in plain loops, with limits on the lines held and on vertices."""
+    ring, held, status = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)], 4, "success"
+    far = lambda: max((x - seed[0]) ** 2 + (y - seed[1]) ** 2 for x, y in ring)
+    for x, y in near:
+        if (x - seed[0]) ** 2 + (y - seed[1]) ** 2 > 4 * far():
+            break
+        if held >= limits[0]:
+            status = "vertex_overflow"
+            break
+        a, b = seed[0] - x, seed[1] - y
+        side = lambda p: a * (p[0] - (x + seed[0]) / 2) + b * (p[1] - (y + seed[1]) / 2)  # noqa: E731, B023
+        if min(map(side, ring)) > -1e-13:
+            continue
+        held, out = held + 1, []
+        for p, q in zip(ring, ring[1:] + ring[:1]):
+            sp, sq = side(p), side(q)
+            if sp >= 0:
+                out.append(p)
+            if (sp >= 0) != (sq >= 0):
+                t = sp / (sp - sq)
+                out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
+        ring = out
+        if len(ring) >= limits[1]:
+            status = "triangle_overflow"
+            break
+    x, y = near[-1]
+    return status if (x - seed[0]) ** 2 + (y - seed[1]) ** 2 > 4 * far() else "security_radius_not_reached"
+
+
+@pytest.mark.parametrize("limits", [(64, 96), (12, 96), (64, 7), (11, 8)])
+def test_statuses_under_limits(limits):
+    rng = random.Random(21)
+    c, order, points = cut([(rng.random(), rng.random()) for _ in range(300)], 60, limits)
+    want = [status_by_hand(points[s], points[order[s]].tolist(), limits) for s in range(300)]
+    got = [STATUS[x] for x in c.status]
+    unsure = [k for k, s in enumerate(got) if s == "needs_exact_predicates"]
+    assert len(unsure) < 10
+    assert [s for k, s in enumerate(got) if k not in unsure] == [s for k, s in enumerate(want) if k not in unsure]
+    if limits == (12, 96):
+        assert "vertex_overflow" in got
+    if limits == (64, 7):
+        assert "triangle_overflow" in got
+
+
+def test_solid_statuses_under_limits():
+    points = [p[1:] for p in scattered(400, 3, 5)]
+    free, few_planes, few_vertices = (cut(points, 120, limits)[0] for limits in ((200, 400), (20, 400), (200, 20)))
+    names = lambda c: {STATUS[x] for x in c.status}
+    assert "vertex_overflow" in names(few_planes) and "triangle_overflow" in names(few_vertices)
+    assert names(free) <= {"success", "security_radius_not_reached"}
+    sure = [k for k in range(400) if STATUS[few_planes.status[k]] == "success"]
+    assert all((free.cell == k).sum() <= 20 for k in sure) and few_planes.volume[sure] == pytest.approx(free.volume[sure])
+
+
+def test_lattice_needs_exact_predicates_in_strict_mode():
+    c, _, _ = cut([(i / 8 + 1 / 16, j / 8 + 1 / 16) for i in range(8) for j in range(8)], None, (64, 96))
+    assert "needs_exact_predicates" in {STATUS[x] for x in c.status}
+
+
+def test_failed_cells_are_raised_or_skipped(spark):
+    p = made(spark, scattered(1200))
+    strict = MeshConfig(dim=2, k=24, buff=0.2, strict=True, max_planes=10)
+    with pytest.raises(RuntimeError, match="vertex_overflow"):
+        voronoi.periodic_mesh(p, strict)[0].count()
+    kept, _ = voronoi.periodic_mesh(p, replace(strict, on_failed_cell="skip"))
+    assert 0 < kept.count() < 1200 and kept.where("status != 'success'").count() == 0
 
 
 def test_too_thin_a_ghost_layer_is_refused(spark):
@@ -133,11 +290,11 @@ def test_step_conserves_and_keeps_uniform_states(spark):
     p = points.with_state(made(spark, scattered(150)), 0.5 + F.col("x"), F.lit(1.0), CONFIG, vx=F.col("y") - 0.5)
     run = simulation.start(p, CONFIG)
     before = hydro.totals(run.cells, run.state, CONFIG).first()
-    after = hydro.totals(run.cells, hydro.step(run.faces, run.cells, run.state, 1e-3, CONFIG), CONFIG).first()
+    after = hydro.totals(run.cells, hydro.step(run.faces, run.state, 1e-3, CONFIG).drop("volume"), CONFIG).first()
     for name in ("mass", "p_vx", "p_vy", "energy"):
         assert after[name] == pytest.approx(before[name], abs=1e-12)
     flat = run.state.select("id", F.lit(1.0).alias("rho"), F.lit(0.3).alias("vx"), F.lit(0.1).alias("vy"), F.lit(2.0).alias("E"))
-    for r in hydro.step(run.faces, run.cells, flat, 1e-3, CONFIG).collect():
+    for r in hydro.step(run.faces, flat, 1e-3, CONFIG).collect():
         assert (r["rho"], r["vx"], r["vy"], r["E"]) == pytest.approx((1.0, 0.3, 0.1, 2.0), abs=1e-12)
 
 
@@ -149,6 +306,43 @@ def test_evolve_ends_at_t_end(spark):
     assert run.state.where("rho <= 0 or isnan(rho)").count() == 0
 
 
+def test_time_steps_come_with_the_state(spark):
+    run = simulation.start(points.sod(made(spark, scattered(80)), CONFIG), CONFIG)
+    after = hydro.step(run.faces, run.state, 1e-3, CONFIG)
+    own = {r["id"]: r["dt"] for r in hydro.time_steps(run.cells, after.drop("volume", "dt"), CONFIG).collect()}
+    assert {r["id"]: r["dt"] for r in after.collect()} == pytest.approx(own)
+
+
+def test_evolve_reports_and_replaces_its_tables(spark):
+    import os
+
+    config = MeshConfig(dim=2, k=24, buff=0.25, t_end=0.02)
+    run = simulation.start(points.sod(made(spark, scattered(80)), config), config)
+    folder = lineage.scratch_dir(spark).removeprefix("file:")
+    before = {x for x in os.listdir(folder) if x.startswith("state-")}
+    seen = []
+    _, steps, time = hydro.evolve(run.faces, run.cells, run.state, config, report=lambda *x: seen.append(x))
+    assert [n for n, _, _ in seen] == list(range(1, steps + 1)) and seen[-1][1] == time
+    assert len({x for x in os.listdir(folder) if x.startswith("state-")} - before) == 1
+
+
+def test_scratch_folder_must_be_named_on_a_cluster():
+    class Conf(dict):
+        def set(self, k, v):
+            self[k] = v
+
+    class Spark:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        lineage.scratch_dir(Spark())
+    Spark.sparkContext.master = "local[2]"
+    assert lineage.scratch_dir(Spark()) == Spark.conf["spark.checkpoint.dir"]
+
+
 def test_evolve_raises_before_t_end(spark):
     config = MeshConfig(dim=2, k=24, buff=0.25, t_end=0.02)
     with pytest.raises(RuntimeError, match="after 0 steps"):
@@ -215,6 +409,60 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "k/nearest")).count() == 240
 
 
+def test_sink_of_all_faces(spark, tmp_path):
+    p = points.sod(made(spark, scattered(80)), CONFIG)
+    cells, images = voronoi.periodic_mesh(p, CONFIG, cut_images=True)
+    sinks.write_mesh(str(tmp_path / "m"), cells, images, p, CONFIG)
+    back = sinks.read_mesh(spark, str(tmp_path / "m"))
+    assert back["cells"].count() == 80 and back["header"].first()["n"] == 80
+    assert back["faces"].where("cell_id >= 80").count() == 0
+    every = spark.read.parquet(str(tmp_path / "m/faces_all"))
+    assert every.where("cell_id < 80").count() == back["faces"].count() and every.where("cell_id >= 80").count() > 0
+
+
+FAKE_H5PY = """
+import numpy as np
+
+class Data:
+    def __init__(self, a):
+        self.a, self.ndim, self.attrs = a, a.ndim, {}
+    def __len__(self):
+        return len(self.a)
+    def __getitem__(self, k):
+        return self.a[k]
+
+class File:
+    def __init__(self, path, mode):
+        self.z = np.load(path)
+    def __enter__(self):
+        return self
+    def __exit__(self, *x):
+        self.z.close()
+    def __getitem__(self, name):
+        d = Data(self.z[name])
+        d.attrs = {"dimension": self.z["header"]}
+        return d
+"""
+
+
+def test_hdf5_scan_with_a_stand_in_for_the_library(spark, tmp_path, monkeypatch):
+    """h5py isn't installed here: a module of its name that reads numpy files shows that the scan's own steps work."""
+    import sys
+
+    rows = scattered(50)
+    (tmp_path / "h5py.py").write_text(FAKE_H5PY)
+    np.savez(tmp_path / "ic.npz", header=np.array(2), seedpos=np.array([r[1:] for r in rows]), rho=np.ones(50), vel=np.zeros((50, 2)), Energy=np.full(50, 1.5))
+    spark.sparkContext.addPyFile(str(tmp_path / "h5py.py"))
+    monkeypatch.setattr(sys, "path", [str(tmp_path), *sys.path])
+    monkeypatch.delitem(sys.modules, "h5py", raising=False)
+    monkeypatch.setattr(hdf5, "ROWS", 16)
+    got = points.scan(spark, str(tmp_path / "ic.npz"), CONFIG, "hdf5")
+    assert {(r["id"], r["x"], r["y"]) for r in got.collect()} == set(rows)
+    with pytest.raises(Exception, match="dimension"):
+        points.scan(spark, str(tmp_path / "ic.npz"), MeshConfig(dim=3), "hdf5").collect()
+    monkeypatch.delitem(sys.modules, "h5py", raising=False)
+
+
 def test_whole_run_from_params(spark, tmp_path):
     config = MeshConfig(dim=2, k=24, buff=0.25, t_end=0.002)
     points.sod(made(spark, scattered(60)), config).write.parquet(str(tmp_path / "ic"))

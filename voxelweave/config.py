@@ -6,8 +6,8 @@ from dataclasses import dataclass
 
 #: Points per grid bucket aimed at; single precision, as the grid size is rounded from it.
 PER_BUCKET = 3.0999999046325684
-#: Largest ring of buckets that a search visits before it gives up in strict mode.
-MAX_RING = 15
+#: In strict mode: the largest ring of buckets that a search visits, and the fewest buckets a side.
+MAX_RING, LEAST_GRID = 15, 16
 STATUS = ("triangle_overflow", "vertex_overflow", "inconsistent_boundary", "security_radius_not_reached", "success", "needs_exact_predicates")
 
 

@@ -1,14 +1,17 @@
 """Exact k nearest neighbours by bucket joins with a certificate.
 
-In buckets of ordinary size, a point's search visits the buckets of rings 0 to R around its own. Whatever lies further out is at least R bucket sides
-away, so a point is certified if its k-th neighbour is nearer than that; the others search again with a larger R, until
-the rings cover the grid. Ties go to the smaller id. Candidates meet their points in an equi-join on bucket numbers, and
-the top k is a ranking window that Spark limits before the shuffle's sort.
+In buckets of ordinary size, a point's search visits the buckets of rings 0 to R around its own. Whatever lies further out
+is at least R bucket sides away, so a point is certified if its k-th neighbour is nearer than that; the others search
+again with a larger R, until the rings cover the grid. Ties go to the smaller id. Candidates meet their points in an
+equi-join on bucket numbers, and the top k is a ranking window that Spark limits before the shuffle's sort.
 
 Points in buckets of more than DENSE points are searched for by levels instead: a bucket's side is halved again and
 again, and each such point takes the finest level whose bucket holds k others. Those lie within the bucket's diagonal,
 which is less than two sides, so two rings of that level hold the k nearest for certain. The pairs of a clump thus grow
-with its points, not with their square.
+with its points, not with their square. Of points in one place only the k + 1 smallest ids can be anyone's neighbours.
+
+In strict mode the grid must have ``LEAST_GRID`` buckets a side, and rings end at ``MAX_RING``; what isn't certified by then
+comes back as uncertified.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelweave.config import PER_BUCKET
+from voxelweave.config import LEAST_GRID, MAX_RING, PER_BUCKET
 from voxelweave.functions.geometry import dist2
 from voxelweave.lineage import materialise
 from voxelweave.operators import grid
@@ -30,7 +33,8 @@ UNIT_BALL = {2: math.pi, 3: 4.0 * math.pi / 3.0}
 
 
 def first_ring(k: int, dim: int) -> int:
-    return math.ceil((k / (PER_BUCKET * UNIT_BALL[dim])) ** (1.0 / dim)) + 1
+    """Rings that hold the k nearest of evenly spread points, with a fifth to spare."""
+    return math.ceil(1.2 * (k / (PER_BUCKET * UNIT_BALL[dim])) ** (1.0 / dim))
 
 
 def ring_join(asked: DataFrame, points: DataFrame, axes: tuple[str, ...], n: int, ring: int) -> DataFrame:
@@ -78,7 +82,7 @@ def dense_pairs(asked: DataFrame, points: DataFrame, axes: tuple[str, ...], n: i
     return pairs.select("id", *axes, "nb_id", *(f"nb_{a}" for a in axes), d2.alias("d2"))
 
 
-def knn(points: DataFrame, k: int, dim: int = 2, asked: DataFrame | None = None, low: float = 0.0, side: float = 1.0) -> DataFrame:
+def knn(points: DataFrame, k: int, dim: int = 2, asked: DataFrame | None = None, low: float = 0.0, side: float = 1.0, strict: bool = False) -> DataFrame:
     """id, position, nb_id, nb_ position, d2, rank (from 0), certified. Points may hold more columns; ids are unique.
 
     asked: the points to search for, by default all. Fewer than k neighbours come back only where there are no more.
@@ -86,28 +90,39 @@ def knn(points: DataFrame, k: int, dim: int = 2, asked: DataFrame | None = None,
     axes = grid_axes(dim)
     total = points.count()
     n = grid.grid_size(total, dim)
+    if strict and n < LEAST_GRID:
+        raise ValueError(f"strict mode needs {LEAST_GRID} buckets a side; {total} points make {n}")
     binned = grid.bins(points, axes, n, low, side)
     open_rows = binned if asked is None else grid.bins(asked, axes, n, low, side)
-    ring, done = min(first_ring(k, dim), n), []
+    ring, done, last = min(first_ring(k, dim), n), [], min(n, MAX_RING) if strict else n
     index = list(grid.INDEXES[:dim])
     large = materialise(binned.groupBy(*index).agg(F.count("*").alias("c")).where(F.col("c") > max(DENSE, k)).select(*index), "knn-dense")
     if not large.isEmpty():
         dense = materialise(open_rows.join(large, index, "left_semi"), "knn-dense-points")
-        done.append(nearest(dense_pairs(dense, binned, axes, n, k, low, side), k).withColumn("certified", F.lit(True)))
+        place = Window.partitionBy(*axes).orderBy("id")
+        first = binned.withColumn("__place", F.row_number().over(place)).where(F.col("__place") <= k + 1).drop("__place")
+        done.append(nearest(dense_pairs(dense, first, axes, n, k, low, side), k).withColumn("certified", F.lit(True)))
         open_rows = materialise(open_rows.join(large, index, "left_anti"), "knn-open")
+    n_open = None
     while True:
         found = nearest(ring_join(open_rows, binned, axes, n, ring), k)
         if ring >= n:
             done.append(found.withColumn("certified", F.lit(True)))
             break
-        found = materialise(found, "knn-round")
-        reach = ring * side / n
-        sure = found.groupBy("id").agg(F.count("*").alias("c"), F.max("d2").alias("far")).where((F.col("c") == k) & (F.col("far") < reach * reach)).select("id")
-        done.append(found.join(sure, "id", "left_semi").withColumn("certified", F.lit(True)))
-        open_rows = materialise(open_rows.join(sure, "id", "left_anti"), "knn-open")
-        if open_rows.isEmpty():
+        own, reach = Window.partitionBy("id"), ring * side / n
+        sure = (F.count("*").over(own) == k) & (F.max("d2").over(own) < reach * reach)
+        found = materialise(found.withColumn("certified", sure), "knn-round")
+        if ring >= last:
+            done.append(found)
             break
-        ring = min(2 * ring, n)
+        done.append(found.where("certified"))
+        n_open = open_rows.count() if n_open is None else n_open
+        sure = found.where("certified and rank = 0").select("id")
+        n_open -= sure.count()
+        if not n_open:
+            break
+        open_rows = materialise(open_rows.join(sure, "id", "left_anti"), "knn-open")
+        ring = min(2 * ring, last)
     return reduce(DataFrame.unionByName, done)
 
 

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxelweave.config import MeshConfig
+from voxelweave.config import STATUS, MeshConfig
 from voxelweave.functions.geometry import rescale_down, rescale_up
-from voxelweave.lineage import materialise
+from voxelweave.lineage import discard, materialise
 from voxelweave.operators import cellkernel, ghosts
 from voxelweave.operators.knn import knn
 from voxelweave.operators.prefix import running_sum
@@ -24,26 +25,38 @@ FACE = "struct<face_no: int, neighbor_cell: long, nx: double, ny: double, nz: do
 
 def _kernel(config: MeshConfig, low: float, high: float):
     dim, axes = config.dim, config.axes
-    cut = cellkernel.cell_2d if dim == 2 else cellkernel.cell_3d
-    vertex = pa.struct([(a, pa.float64()) for a in ("x", "y", "z")])
-    face = pa.struct([("face_no", pa.int32()), ("neighbor_cell", pa.int64()), ("nx", pa.float64()), ("ny", pa.float64()), ("nz", pa.float64()), ("area", pa.float64()), ("verts", pa.list_(vertex))])
+    cut = cellkernel.cut_polygons if dim == 2 else cellkernel.cut_polyhedra
+    rows = 2048 if dim == 2 else 256
+    limits = (config.max_planes, config.max_vertices) if config.strict else None
 
     def run(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                ids, near = part.column(0).to_pylist(), part.column(part.num_columns - 1).to_pylist()
-                seeds = list(zip(*(part.column(1 + k).to_pylist() for k in range(dim))))
-                volume, far2, status, faces = [], [], [], []
-                for seed, others in zip(seeds, near):
-                    c = cut(seed, [(o["nb_id"], *(o[f"nb_{a}"] for a in axes), o["d2"]) for o in others], low, high)
-                    if config.strict and c["status"] == "success" and len(c["faces"]) > config.max_planes:
-                        c["status"] = "triangle_overflow"
-                    volume.append(c["volume"])
-                    far2.append(c["far2"])
-                    status.append(c["status"])
-                    faces.append([{"face_no": k, "neighbor_cell": f[1], "nx": f[2], "ny": f[3], "nz": f[4], "area": f[5], "verts": [{"x": p[0], "y": p[1], "z": p[2]} for p in f[6]]} for k, f in enumerate(c["faces"])])
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(part.column(1 + k) for k in range(dim)), pa.array(volume, pa.float64()), pa.array(far2, pa.float64()), pa.array(status), pa.array([o[-1]["d2"] if o else None for o in near], pa.float64()), pa.array(faces, pa.list_(face))], names=["cell_id", *(f"seed_{a}" for a in axes), "volume", "far2", "status", "kth_d2", "faces"])
+            for at in range(0, b.num_rows, rows):
+                part = b.slice(at, rows)
+                near = part.column(part.num_columns - 1)
+                count = np.diff(near.offsets.to_numpy())
+                flat = near.flatten()
+                place = np.arange(max(1, int(count.max(initial=0)))) < count[:, None]
+
+                def padded(name, flat=flat, place=place):
+                    out = np.zeros(place.shape, np.int64 if name == "nb_id" else float)
+                    out[place] = flat.field(name).to_numpy(zero_copy_only=False)
+                    return out
+
+                seed = np.stack([part.column(1 + k).to_numpy() for k in range(dim)], axis=1)
+                ids, d2 = padded("nb_id"), padded("d2")
+                c = cut(seed, np.stack([padded(f"nb_{a}") for a in axes], axis=2), d2, count, low, high, limits)
+                other = np.where(c.label < 0, c.label, ids[c.cell, c.label.clip(min=0)])
+                faces = np.bincount(c.cell, minlength=part.num_rows)
+                ends = np.append(0, np.cumsum(faces))
+                number = np.arange(len(c.cell)) - ends[c.cell]
+                corners = pa.StructArray.from_arrays([pa.array(c.verts[:, k]) for k in range(3)], names=["x", "y", "z"])
+                verts = pa.ListArray.from_arrays(pa.array(c.first, pa.int32()), corners)
+                columns = [pa.array(number, pa.int32()), pa.array(other, pa.int64()), *(pa.array(c.normal[:, k]) for k in range(3)), pa.array(c.area), verts]
+                face = pa.StructArray.from_arrays(columns, names=["face_no", "neighbor_cell", "nx", "ny", "nz", "area", "verts"])
+                kth = pa.array(d2[np.arange(len(count)), np.maximum(count - 1, 0)], mask=count == 0)
+                status = pa.array(np.array(STATUS, object)[c.status], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), *(part.column(1 + k) for k in range(dim)), pa.array(c.volume), pa.array(c.far2), status, kth, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), face)], names=["cell_id", *(f"seed_{a}" for a in axes), "volume", "far2", "status", "kth_d2", "faces"])
 
     return run, "cell_id long, " + ", ".join(f"seed_{a} double" for a in axes) + f", volume double, far2 double, status string, kth_d2 double, faces array<{FACE}>"
 
@@ -61,7 +74,7 @@ def mesh(points: DataFrame, config: MeshConfig, asked: DataFrame | None = None,
     """Cells of ``asked`` (default all points) among ``points`` in the box [low, high]: cut_cells' columns."""
     k, open_rows, done = config.k, points if asked is None else asked, []
     while True:
-        found = materialise(cut_cells(knn(points, k, config.dim, open_rows, low, high - low), config, low, high), "cells")
+        found = materialise(cut_cells(knn(points, k, config.dim, open_rows, low, high - low, config.strict), config, low, high), "cells")
         short = found.where("status = 'security_radius_not_reached'").select(F.col("cell_id").alias("id"))
         if k >= config.k_max or short.isEmpty():
             done.append(found)
@@ -139,6 +152,7 @@ def symmetry(adj: DataFrame, digits: int = 9) -> DataFrame:
 
 def lloyd(points: DataFrame, config: MeshConfig, iterations: int = 1, extent: float = 1.0) -> DataFrame:
     """Moves each bounded cell's seed to the mean of its vertices, clipped to the box; others stay."""
+    points = points.select("*")  # a frame of its own: the caller's table stays
     for _ in range(iterations):
         cells = mesh(points, config)
         rows = faces(cells)
@@ -150,5 +164,6 @@ def lloyd(points: DataFrame, config: MeshConfig, iterations: int = 1, extent: fl
         means = corner.join(bounded, "cell_id", "left_semi").groupBy("cell_id").agg(*(F.avg(f"v.{a}").alias(f"m{a}") for a in config.axes))
         moved = points.join(means, F.col("id") == F.col("cell_id"), "left")
         moved = moved.withColumns({a: F.least(F.lit(extent), F.greatest(F.lit(0.0), F.coalesce(F.col(f"m{a}"), F.col(a)))) for a in config.axes})
-        points = materialise(moved.select(*points.columns), "lloyd")
+        before, points = points, materialise(moved.select(*points.columns), "lloyd")
+        discard(before)
     return points

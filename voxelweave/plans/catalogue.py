@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from voxelweave.config import MeshConfig
 from voxelweave.functions import gas
-from voxelweave.functions.geometry import dist2, face_frame, halfplane, meeting_point3, rescale_down, rescale_up
-from voxelweave.lineage import materialise, scratch_dir
+from voxelweave.functions.geometry import cross3, det2, det3, det4, dist2, dot3, dot4, face_frame, halfplane, in_conflict, meeting_point, meeting_point3, minmax3, minus4, mul3, plus4, point3, references_plane, rescale_down, rescale_up
+from voxelweave.lineage import materialise, scratch_path
 from voxelweave.operators import ghosts as ghost_ops
 from voxelweave.operators import grid, hydro, voronoi
 from voxelweave.operators import knn as knn_ops
@@ -61,8 +61,8 @@ def q01b_uniform_state(spark, sf_dir):
 
 
 def q01c_scan_checked(spark, sf_dir):
-    path = f"{scratch_dir(spark)}/ic-{points.__name__}"
-    points.sod(customers(spark, sf_dir), FLAT).write.mode("overwrite").parquet(path)
+    path = scratch_path(spark, "ic")
+    points.sod(customers(spark, sf_dir), FLAT).write.parquet(path)
     return points.scan(spark, path, FLAT).select("id", "x", "y", "rho", F.round("E", 9).alias("energy"))
 
 
@@ -231,8 +231,8 @@ def q24_cfl_dt(spark, sf_dir):
 
 
 def q25_hydro_step(spark, sf_dir):
-    run = simulation.start(with_states(spark, sf_dir), FLAT)
-    after = hydro.step(run.faces, run.cells, run.state, 0.002, FLAT)
+    run = simulation.start(with_states(spark, sf_dir), FLAT, keep=False)
+    after = hydro.step(run.faces, run.state, 0.002, FLAT)
     return rounded(after.select("id", "rho", "vx", "vy", F.col("E").alias("energy")), 8, "rho", "vx", "vy", "energy")
 
 
@@ -242,8 +242,8 @@ def q25b_hydro_step_outward(spark, sf_dir):
     out = []
     for convention in ("inward", "outward"):
         config = replace(FLAT, normal_convention=convention)
-        run = simulation.start(still, config)
-        s = hydro.step(run.faces, run.cells, run.state, 0.002, config)
+        run = simulation.start(still, config, keep=False)
+        s = hydro.step(run.faces, run.state, 0.002, config)
         out.append(s.select("id", *(F.col(c).alias(f"{c}_{convention}") for c in ("rho", "vx", "vy", "E"))))
     both = out[0].join(out[1], "id")
     near = lambda a, b: F.abs(a - b) < 1e-12
@@ -252,9 +252,13 @@ def q25b_hydro_step_outward(spark, sf_dir):
 
 
 def q26_hydro_sod(spark, sf_dir):
-    config = replace(FLAT, t_end=0.01)
-    run = simulation.simulate(points.sod(customers(spark, sf_dir), config), config)
-    return run.state.select("id", "rho", "vx", "vy", "E")
+    """The time loop up to one and a half of the first step's length: a whole step, then one that is cut to end there."""
+    still = materialise(points.sod(customers(spark, sf_dir), FLAT), "sod")
+    run = simulation.start(still, FLAT)
+    config = replace(FLAT, t_end=1.5 * hydro.global_step(hydro.time_steps(run.cells, run.state, FLAT)))
+    state, steps, time = hydro.evolve(run.faces, run.cells, run.state, config)
+    run.faces.unpersist()
+    return rounded(state.select("id", "rho", "vx", "vy", F.col("E").alias("energy")), 8, "rho", "vx", "vy", "energy")
 
 
 def q27_conservation(spark, sf_dir):
@@ -264,15 +268,16 @@ def q27_conservation(spark, sf_dir):
         row = hydro.totals(run.cells, state, FLAT).withColumn("step", F.lit(n))
         row = rounded(row, 9, "volume", "mass", "p_vx", "p_vy", "energy")
         out = row if out is None else out.unionByName(row)
-        state = materialise(hydro.step(run.faces, run.cells, state, 0.002, FLAT), "state")
+        state = materialise(hydro.step(run.faces, state, 0.002, FLAT).drop("volume", "dt"), "state")
+    run.faces.unpersist()
     return out
 
 
 def q27b_uniform_fixed_point(spark, sf_dir):
     """A uniform state doesn't change."""
     p = customers(spark, sf_dir).withColumns({"rho": F.lit(1.0), "vx": F.lit(0.1), "vy": F.lit(-0.2), "E": F.lit(1.0)})
-    run = simulation.start(p, FLAT)
-    return rounded(hydro.step(run.faces, run.cells, run.state, 0.01, FLAT).select("id", "rho", "vx", "vy", F.col("E").alias("energy")), 10, "rho", "vx", "vy", "energy")
+    run = simulation.start(p, FLAT, keep=False)
+    return rounded(hydro.step(run.faces, run.state, 0.01, FLAT).select("id", "rho", "vx", "vy", F.col("E").alias("energy")), 10, "rho", "vx", "vy", "energy")
 
 
 # ---------------------------------------------------------------- parameters, relaxation, sinks
@@ -286,23 +291,62 @@ def q28_params_parse(spark, sf_dir):
     return params.parse_frame(lines)
 
 
+def q28b_params_typed(spark, sf_dir):
+    """Each typed getter on text that it can read, with what trails a number, and the names of the errors of others."""
+    p = params.parse_lines(["n = 42 apples", "m = -7x", "d = 2.5e1z", "dot = .5", "yes = On", "no = FALSE", "odd = maybe"])
+
+    def outcome(get, key):
+        try:
+            return repr(get(key)).lower()
+        except (KeyError, ValueError) as e:
+            return type(e).__name__
+
+    asked = [("get_int", p.get_int, "n"), ("get_int", p.get_int, "m"), ("get_int", p.get_int, "odd"), ("get_double", p.get_double, "d"), ("get_double", p.get_double, "dot"), ("get_bool", p.get_bool, "yes"), ("get_bool", p.get_bool, "no"), ("get_bool", p.get_bool, "odd"), ("get", p.get, "none")]
+    return spark.createDataFrame([(name, key, outcome(get, key)) for name, get, key in asked], "getter string, key string, outcome string")
+
+
 def q29_lloyd_iteration(spark, sf_dir):
     p = materialise(customers(spark, sf_dir), "lloyd-in")
     return rounded(voronoi.lloyd(p, replace(FLAT, buff=0.0)), 9, "x", "y")
 
 
-def q30_mesh_sink_roundtrip(spark, sf_dir):
-    run = simulation.start(with_states(spark, sf_dir), FLAT)
-    path = f"{scratch_dir(spark)}/mesh-sink"
+def written_mesh(spark, sf_dir) -> dict[str, DataFrame]:
+    run = simulation.start(with_states(spark, sf_dir), FLAT, keep=False)
+    path = scratch_path(spark, "mesh-sink")
     sinks.write_mesh(path, run.cells, run.images, run.state, FLAT, store_edge_coords=True)
-    back = sinks.read_mesh(spark, path)
+    return sinks.read_mesh(spark, path)
+
+
+def q30_mesh_sink_roundtrip(spark, sf_dir):
+    back = written_mesh(spark, sf_dir)
     cells = back["cells"].agg(F.count("*").alias("n_cells"), F.round(F.sum("volume"), 9).alias("total_volume"), F.sum("face_count").alias("n_faces"))
     return cells.crossJoin(back["faces"].agg(F.count("*").alias("n_face_rows"))).crossJoin(back["hydro"].agg(F.count("*").alias("n_states"))).crossJoin(back["header"].select("dimension", "k"))
 
 
+def q30b_mesh_file_header(spark, sf_dir):
+    return written_mesh(spark, sf_dir)["header"]
+
+
+def q30c_mesh_file_cells(spark, sf_dir):
+    cells = written_mesh(spark, sf_dir)["cells"]
+    return rounded(cells.withColumn("face_count", F.col("face_count").cast("long")), 10, "volume")
+
+
+def q30d_mesh_file_faces(spark, sf_dir):
+    """With the edges' ends in order, whichever comes first."""
+    faces = written_mesh(spark, sf_dir)["faces"]
+    ends = {"x0": F.array_min(F.col("verts.x")), "x1": F.array_max(F.col("verts.x")), "y0": F.array_min(F.col("verts.y")), "y1": F.array_max(F.col("verts.y"))}
+    faces = faces.withColumns(ends).withColumn("face_no", F.col("face_no").cast("long")).drop("verts")
+    return rounded(faces, 8, "nx", "ny", "area", *ends)
+
+
+def q30e_mesh_file_hydro(spark, sf_dir):
+    return written_mesh(spark, sf_dir)["hydro"].withColumnRenamed("E", "energy")
+
+
 def q31_knn_sink_roundtrip(spark, sf_dir):
     p = customers(spark, sf_dir)
-    path = f"{scratch_dir(spark)}/knn-sink"
+    path = scratch_path(spark, "knn-sink")
     sinks.write_knn(path, p, knn_ops.knn(p, 8), 8, FLAT)
     return spark.read.parquet(f"{path}/nearest").select("sorted_pos", "rank", "nb_pos")
 
@@ -338,6 +382,33 @@ def q34_meeting_point_3d(spark, sf_dir):
     return rounded(s.select("id", *(c.alias(n) for c, n in zip(meeting_point3(*planes), "xyz"))), 12, "x", "y", "z")
 
 
+def q35_strict_mesh(spark, sf_dir):
+    """Statuses under the storage limits of the defaults: evenly spread points keep well within them."""
+    p = points.from_keys(spark.read.parquet(f"{sf_dir}/events.parquet"), "event_id")
+    cells, _ = voronoi.periodic_mesh(materialise(p, "strict"), replace(FLAT, strict=True))
+    return cells.groupBy("status").agg(F.count("*").alias("n"), F.round(F.sum("volume"), 8).alias("volume"))
+
+
+def q36_vector_algebra(spark, sf_dir):
+    s = solid_state()
+    a, b, c, d = [*s[1:4], s[0]], [s[0], s[4], *s[1:3]], [s[4], *s[1:3], F.lit(1.0)], [F.lit(0.5), s[3], s[0], s[4]]
+    low, high = minmax3(*s[1:4])
+    columns = {f"p{k}": x for k, x in enumerate(plus4(a, b))} | {f"m{k}": x for k, x in enumerate(minus4(a, b))} | {f"s{k}": x for k, x in enumerate(mul3(s[4], a))} | {f"c{k}": x for k, x in enumerate(cross3(a, b))}
+    columns |= {"d3": dot3(a, b), "d4": dot4(a, b), "det2": det2([a[:2], b[:2]]), "det3": det3([a[:3], b[:3], c[:3]]), "det4": det4([a, b, c, d]), "low": low, "high": high} | {f"q{k}": x for k, x in enumerate(point3(s[1], s[2]))}
+    return rounded(state_of(spark, sf_dir).select("id", *(x.alias(n) for n, x in columns.items())), 9, *columns)
+
+
+def q37_conflicts(spark, sf_dir):
+    """The vertex of each point's two nearest bisectors against all of its others: which would cut it off."""
+    found = knn_ops.knn(customers(spark, sf_dir), 8)
+    plane = halfplane([F.col("x"), F.col("y")], [F.col("nb_x"), F.col("nb_y")])
+    planes = found.select("id", F.col("rank").cast("long").alias("rank"), *(c.alias(n) for n, c in zip("abw", plane)))
+    side = lambda k: planes.where(F.col("rank") == k).select("id", *(F.col(c).alias(f"{c}{k}") for c in "abw"))
+    v = meeting_point(*([F.col(f"{c}{k}") for c in "abw"] for k in (0, 1)))
+    rows = planes.join(side(0), "id").join(side(1), "id").where(F.abs(F.col("a0") * F.col("b1") - F.col("a1") * F.col("b0")) > 1e-6)
+    return rows.select("id", "rank", in_conflict([F.col(c) for c in "abw"], v).alias("conflict"), references_plane(F.array(F.lit(0).cast("long"), F.lit(1).cast("long")), F.col("rank")).alias("own"))
+
+
 QUERIES = [f for name, f in sorted(globals().items()) if name.startswith("q") and name[1:3].isdigit()]
 
 
@@ -354,17 +425,17 @@ def oracle_sql() -> dict[str, str]:
 fr2 AS (SELECT *, CASE WHEN nx = 0 AND ny = 0 THEN 1 ELSE -ny / nullif(sqrt(nx*nx+ny*ny), 0) END AS mx, CASE WHEN nx = 0 AND ny = 0 THEN 0 ELSE nx / nullif(sqrt(nx*nx+ny*ny), 0) END AS my, 0::double AS mz FROM fr1),
 fr AS (SELECT *, ny*mz-nz*my AS px, nz*mx-nx*mz AS py, nx*my-ny*mx AS pz FROM fr2)"""
     normal = "CASE WHEN id % 13 = 0 THEN 0::double ELSE (id % 7)::double - 2.5 END AS ax, CASE WHEN id % 13 = 0 THEN 0::double ELSE (id % 5)::double - 1.5 END AS ay, (id % 3)::double - 0.5 AS az"
-    sides = lambda s: ", ".join(f"{s}.{c} AS {s}_{c}" for c in ("rho", "vx", "vy", "vz", "e"))
+    sides = o.sides
     flat_state = o.STATE.replace("(c_custkey % 7 - 3)::double / 50::double AS vz", "0::double AS vz")
     dt = f"0.4::double * sqrt(volume / pi()) / (sqrt({o.GAMMA} * {o.pressure('')} / rho) + sqrt(vx*vx+vy*vy+vz*vz))"
-    step_rows = "rows AS (SELECT f.cell_id, f.area, f.nx, f.ny, 0::double AS nz, -f.ny AS mx, f.nx AS my, 0::double AS mz, 0::double AS px, 0::double AS py, 1::double AS pz, " + sides("l") + ", " + sides("r") + " FROM faces f JOIN state l ON l.id = f.cell_id JOIN state r ON r.id = f.src_id)"
-    step = f"{step_rows}, {o.hll('rows', 'cell_id, area')}, sums AS (SELECT cell_id, sum(f1*area) AS s1, sum(f2*area) AS s2, sum(f3*area) AS s3, sum(f5*area) AS s5 FROM flux GROUP BY cell_id)"
-    moved = f"upd AS (SELECT s.id, rho - (0.002/volume)*s1 AS nr, rho*vx - (0.002/volume)*s2 AS nvx, rho*vy - (0.002/volume)*s3 AS nvy, e - (0.002/volume)*s5 AS ne FROM state s JOIN sums ON sums.cell_id = s.id JOIN cells c ON c.cell_id = s.id)"
     walls = "wall(nb_id, rank, a, b, w) AS (VALUES (-1, 1000, 1::double, 0::double, 0::double), (-2, 1001, -1::double, 0::double, 1::double), (-3, 1002, 0::double, 1::double, 0::double), (-4, 1003, 0::double, -1::double, 1::double))"
+    sod = sod_rho = "CASE WHEN x < 0.5 THEN 1::double ELSE 0.125::double END AS rho"
     boxed = o.PLANES.replace("planes AS (", "planes0 AS (") + ", planes AS (SELECT * FROM planes0 UNION ALL SELECT id, nb_id, rank, 0::double, x, y, a, b, w FROM pts, wall)"
     vertices = o.VERTICES[: o.VERTICES.index("ring AS")].rstrip().rstrip(",")
+    sod_state = f"state AS (SELECT id, {sod_rho}, 0::double AS vx, 0::double AS vy, 0::double AS vz, CASE WHEN x < 0.5 THEN 1::double / (5::double/3::double - 1) ELSE 0.1::double / (5::double/3::double - 1) END AS e FROM pts)"
+    loop = f"t1 AS (SELECT min({dt}) AS dt FROM state JOIN cells ON cell_id = id), {o.step('state', 's1', '(SELECT dt FROM t1)')}, {o.step('s1', 's2', '0.5::double * (SELECT dt FROM t1)')}"
+    numbered = "fn AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY rank) - 1 AS face_no FROM faces)"
     kept = [("ic_file", "ic.parquet"), ("output_directory", "out dir"), ("expr", "a=b"), ("k", "24"), ("empty", "")]
-    sod = "CASE WHEN x < 0.5 THEN 1::double ELSE 0.125::double END AS rho"
     energy = "round(CASE WHEN x < 0.5 THEN 1.5::double ELSE 0.15::double END, 9) AS energy"
     embed = "raw AS (SELECT min(vec_id) AS id, x, y FROM (SELECT vec_id, embedding[1]::double AS x, embedding[2]::double AS y FROM embeddings) GROUP BY x, y), pts AS (SELECT id, (x - (SELECT min(x) FROM raw)) / ((SELECT max(x) FROM raw) - (SELECT min(x) FROM raw)) AS x, (y - (SELECT min(y) FROM raw)) / ((SELECT max(y) FROM raw) - (SELECT min(y) FROM raw)) AS y FROM raw)"
     return {
@@ -402,11 +473,25 @@ fr AS (SELECT *, ny*mz-nz*my AS px, nz*mx-nx*mz AS py, nx*my-ny*mx AS pz FROM fr
         "q22_face_frame": f"WITH {o.STATE}, nrm AS (SELECT id, {normal} FROM state), {frame} SELECT id, " + ", ".join(f"{z(c, 10)} AS {c}" for c in ("nx", "ny", "nz", "mx", "my", "mz", "px", "py", "pz")) + " FROM fr",
         "q23_hll_flux": f"WITH {o.STATE}, nrm AS (SELECT l.id, {normal.replace('id %', 'l.id %')}, {sides('l')}, {sides('r')} FROM state l JOIN state r ON r.id = l.id + 1), {frame}, {o.hll('fr', 'id')} SELECT id, " + ", ".join(f"{z(f'f{k}', 9)} AS f{k}" for k in range(1, 6)) + " FROM flux",
         "q24_cfl_dt": f"WITH {mesh}, {o.STATE.replace('(c_custkey % 7 - 3)::double / 50::double AS vz', '0::double AS vz')} SELECT round(min({dt}), 12) AS dt FROM state JOIN cells ON cell_id = id",
-        "q25_hydro_step": f"WITH {mesh}, {flat_state}, {step}, {moved} SELECT id, {z('nr', 8)} AS rho, {z('nvx/nr', 8)} AS vx, {z('nvy/nr', 8)} AS vy, {z('ne', 8)} AS energy FROM upd",
+        "q25_hydro_step": f"WITH {mesh}, {flat_state}, {o.step('state', 's1', '0.002::double')} SELECT id, {z('rho', 8)} AS rho, {z('vx', 8)} AS vx, {z('vy', 8)} AS vy, {z('e', 8)} AS energy FROM s1",
         "q25b_hydro_step_outward": "SELECT c_custkey AS id, true AS mirrored FROM customer",
+        "q26_hydro_sod": f"WITH {mesh}, {sod_state}, {loop} SELECT id, {z('rho', 8)} AS rho, {z('vx', 8)} AS vx, {z('vy', 8)} AS vy, {z('e', 8)} AS energy FROM s2",
         "q27_conservation": f"WITH {mesh}, {flat_state}, t AS (SELECT sum(volume) AS volume, sum(rho*volume) AS mass, sum(rho*vx*volume) AS p_vx, sum(rho*vy*volume) AS p_vy, sum(e*volume) AS energy FROM state JOIN cells ON cell_id = id) SELECT i::int AS step, {z('volume', 9)} AS volume, {z('mass', 9)} AS mass, {z('p_vx', 9)} AS p_vx, {z('p_vy', 9)} AS p_vy, {z('energy', 9)} AS energy FROM t, range(3) r(i)",
         "q27b_uniform_fixed_point": "SELECT c_custkey AS id, 1::double AS rho, 0.1::double AS vx, -0.2::double AS vy, 1::double AS energy FROM customer",
         "q28_params_parse": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in kept) + ") t(key, value)",
+        "q28b_params_typed": "SELECT * FROM (VALUES ('get_int', 'n', '42'), ('get_int', 'm', '-7'), ('get_int', 'odd', 'ValueError'), ('get_double', 'd', '25.0'), ('get_double', 'dot', '0.5'), ('get_bool', 'yes', 'true'), ('get_bool', 'no', 'false'), ('get_bool', 'odd', 'ValueError'), ('get', 'none', 'KeyError')) t(getter, key, outcome)",
+        "q30_mesh_sink_roundtrip": f"WITH {mesh} SELECT (SELECT count(*) FROM cells) AS n_cells, (SELECT round(sum(volume), 9) FROM cells) AS total_volume, (SELECT count(*) FROM faces) AS n_faces, (SELECT count(*) FROM faces) AS n_face_rows, (SELECT count(*) FROM customer) AS n_states, 2::int AS dimension, 24::int AS k",
+        "q30b_mesh_file_header": "SELECT 2::int AS dimension, 1::double AS extent, count(*) AS n, 24::int AS k, 16::int AS nmax, 0::int AS seed, true AS store_edge_coords FROM customer",
+        "q30c_mesh_file_cells": f"WITH {mesh}, c AS (SELECT cell_id, count(*) AS face_count FROM faces GROUP BY cell_id) SELECT cell_id, x AS seed_x, y AS seed_y, {z('volume', 10)} AS volume, face_count, 'success' AS status FROM cells JOIN c USING (cell_id) JOIN pts ON id = cell_id",
+        "q30d_mesh_file_faces": f"WITH {mesh}, {numbered}, e AS (SELECT id, nb_id, min(vx) AS x0, max(vx) AS x1, min(vy) AS y0, max(vy) AS y1 FROM ends GROUP BY id, nb_id) SELECT cell_id, face_no, neighbor_cell, src_id, {z('nx', 8)} AS nx, {z('ny', 8)} AS ny, {z('area', 8)} AS area, {z('x0', 8)} AS x0, {z('x1', 8)} AS x1, {z('y0', 8)} AS y0, {z('y1', 8)} AS y1 FROM fn JOIN e ON e.id = cell_id AND nb_id = neighbor_cell",
+        "q30e_mesh_file_hydro": f"WITH {o.STATE} SELECT id, rho, vx, vy, e AS energy FROM state",
+        "q35_strict_mesh": "SELECT 'success' AS status, count(*) AS n, 1::double AS volume FROM events",
+        "q36_vector_algebra": f"WITH {o.STATE}, v AS (SELECT id, vx AS a0, vy AS a1, vz AS a2, rho AS a3, rho AS b0, e AS b1, vx AS b2, vy AS b3, e AS c0, vx AS c1, vy AS c2, 1::double AS c3, 0.5::double AS d0, vz AS d1, rho AS d2, e AS d3 FROM state), m AS (SELECT *, c2*d3-c3*d2 AS cd23, c1*d3-c3*d1 AS cd13, c1*d2-c2*d1 AS cd12, c0*d3-c3*d0 AS cd03, c0*d2-c2*d0 AS cd02, c0*d1-c1*d0 AS cd01 FROM v) SELECT id, "
+        + ", ".join(f"{z(f'a{k}+b{k}', 9)} AS p{k}, {z(f'a{k}-b{k}', 9)} AS m{k}" for k in range(4)) + ", " + ", ".join(f"{z(f'c0*a{k}', 9)} AS s{k}" for k in range(3))
+        + f", {z('a1*b2-a2*b1', 9)} AS c0, {z('a2*b0-a0*b2', 9)} AS c1, {z('a0*b1-a1*b0', 9)} AS c2, {z('a0*b0+a1*b1+a2*b2', 9)} AS d3, {z('a0*b0+a1*b1+a2*b2+a3*b3', 9)} AS d4, {z('a0*b1-a1*b0', 9)} AS det2"
+        + f", {z('a0*(b1*c2-b2*c1)-a1*(b0*c2-b2*c0)+a2*(b0*c1-b1*c0)', 9)} AS det3, {z('(a0*b1-a1*b0)*cd23-(a0*b2-a2*b0)*cd13+(a0*b3-a3*b0)*cd12+(a1*b2-a2*b1)*cd03-(a1*b3-a3*b1)*cd02+(a2*b3-a3*b2)*cd01', 9)} AS det4"
+        + f", {z('least(a0, a1, a2)', 9)} AS low, {z('greatest(a0, a1, a2)', 9)} AS high, {z('a0', 9)} AS q0, {z('a1', 9)} AS q1, 0::double AS q2 FROM m",
+        "q37_conflicts": f"WITH {o.pts()}, {o.knn(8)}, {o.PLANES}, v AS (SELECT p.id, (p.b*q.w - q.b*p.w) / (p.a*q.b - q.a*p.b) AS vx, (q.a*p.w - p.a*q.w) / (p.a*q.b - q.a*p.b) AS vy FROM planes p JOIN planes q ON p.id = q.id AND p.rank = 0 AND q.rank = 1 WHERE abs(p.a*q.b - q.a*p.b) > 1e-6) SELECT r.id, rank, r.a*vx + r.b*vy + r.w < -1e-13 AS conflict, rank < 2 AS own FROM planes r JOIN v ON v.id = r.id",
         "q29_lloyd_iteration": f"WITH {o.pts()}, {walls}, {o.knn(24)}, {boxed}, {vertices}, m AS (SELECT id, avg(vx) AS mx, avg(vy) AS my FROM verts GROUP BY id HAVING min(least(p1, p2)) >= 0) SELECT id, {z('coalesce(mx, x)', 9)} AS x, {z('coalesce(my, y)', 9)} AS y FROM pts LEFT JOIN m USING (id)",
         "q31_knn_sink_roundtrip": f"WITH {o.pts()}, {o.grid()}, {o.knn(8)}, p AS (SELECT id, row_number() OVER (ORDER BY cell, id) - 1 AS pos FROM binned) SELECT a.pos AS sorted_pos, rank, b.pos AS nb_pos FROM knn JOIN p a ON a.id = knn.id JOIN p b ON b.id = knn.nb_id",
     }

@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
-from voxelweave.config import PER_BUCKET
-from voxelweave.operators.ghosts import REGIONS, SHIFT
-from voxelweave.sources.points import AXES, STEPS
+import re
+
+#: Fixed values of the semantics, written out anew: steps of the points' sequence, points per bucket, and the regions of
+#: images in the order of their ids, as the range of each axis (near the low side, anywhere, near the high side) and its shift.
+AXES = ("x", "y", "z")
+STEPS = {2: (0.7548776662466927, 0.5698402909980532), 3: (0.8191725133961645, 0.6710436067037893, 0.5497004779019703)}
+PER_BUCKET = 3.0999999046325684
+LOW, ANY, HIGH = ("low", 1.0), ("any", 0.0), ("high", -1.0)
+REGIONS = {
+    2: [(LOW, ANY), (ANY, HIGH), (HIGH, ANY), (ANY, LOW), (LOW, LOW), (LOW, HIGH), (HIGH, HIGH), (HIGH, LOW)],
+    3: [
+        (ANY, ANY, LOW), (LOW, ANY, ANY), (ANY, HIGH, ANY), (HIGH, ANY, ANY), (ANY, LOW, ANY), (ANY, ANY, HIGH),
+        (ANY, LOW, LOW), (LOW, ANY, LOW), (ANY, HIGH, LOW), (HIGH, ANY, LOW), (LOW, LOW, ANY), (LOW, HIGH, ANY), (HIGH, HIGH, ANY), (HIGH, LOW, ANY), (LOW, ANY, HIGH), (ANY, HIGH, HIGH), (HIGH, ANY, HIGH), (ANY, LOW, HIGH),
+        (LOW, LOW, LOW), (LOW, HIGH, LOW), (HIGH, HIGH, LOW), (HIGH, LOW, LOW), (LOW, LOW, HIGH), (LOW, HIGH, HIGH), (HIGH, HIGH, HIGH), (HIGH, LOW, HIGH),
+    ],
+}
 
 GAMMA = "(5::double/3::double)"
 
@@ -27,11 +40,11 @@ def knn(k: int, dim: int = 2, asked: str = "pts", points: str = "pts", name: str
 
 
 def ghosts(buff: float, dim: int = 2) -> str:
-    low, high = {"L": "0::double", "H": f"(1::double - {buff}::double)", "A": "0::double"}, {"L": f"{buff}::double", "H": "1::double", "A": "1::double"}
+    low, high = {"low": "0::double", "high": f"(1::double - {buff}::double)", "any": "0::double"}, {"low": f"{buff}::double", "high": "1::double", "any": "1::double"}
     parts = []
     for k, region in enumerate(REGIONS[dim]):
-        where = " AND ".join(f"{a} > {low[c]} AND {a} < {high[c]}" for a, c in zip(AXES, region))
-        cols = ", ".join(f"{a} + {SHIFT[c]}::double AS {a}" for a, c in zip(AXES, region))
+        where = " AND ".join(f"{a} > {low[c]} AND {a} < {high[c]}" for a, (c, _) in zip(AXES, region))
+        cols = ", ".join(f"{a} + {shift}::double AS {a}" for a, (_, shift) in zip(AXES, region))
         parts.append(f"SELECT id AS orig_id, {k} AS region, {cols} FROM pts WHERE {where}")
     xyz = ", ".join(AXES[:dim])
     return f"gh0 AS ({' UNION ALL '.join(parts)}), ghosts AS (SELECT (SELECT count(*) FROM pts) + row_number() OVER (ORDER BY orig_id, region) - 1 AS ghost_id, orig_id, region, {xyz} FROM gh0), ext AS (SELECT id, {xyz}, id AS src_id FROM pts UNION ALL SELECT ghost_id, {xyz}, orig_id FROM ghosts)"
@@ -76,3 +89,18 @@ flux AS (SELECT {key}, g1 AS f1, g2*nx+g3*mx+g4*px AS f2, g2*ny+g3*my+g4*py AS f
 
 
 STATE = "state AS (SELECT c_custkey AS id, 0.5::double + (c_acctbal + 1000::double) / 11000::double AS rho, (c_nationkey - 12)::double / 100::double AS vx, (c_custkey % 11 - 5)::double / 50::double AS vy, (c_custkey % 7 - 3)::double / 50::double AS vz, 1::double + (c_custkey % 13)::double / 10::double AS e FROM customer)"
+
+
+def sides(s: str) -> str:
+    return ", ".join(f"{s}.{c} AS {s}_{c}" for c in ("rho", "vx", "vy", "vz", "e"))
+
+
+def step(before: str, after: str, dt: str) -> str:
+    """The state ``after`` made from ``before`` in 2D; CTEs cells and faces have the mesh."""
+    rows = f"rows AS (SELECT f.cell_id, f.area, f.nx, f.ny, 0::double AS nz, -f.ny AS mx, f.nx AS my, 0::double AS mz, 0::double AS px, 0::double AS py, 1::double AS pz, {sides('l')}, {sides('r')} FROM faces f JOIN {before} l ON l.id = f.cell_id JOIN {before} r ON r.id = f.src_id)"
+    sums = "sums AS (SELECT cell_id, sum(f1*area) AS s1, sum(f2*area) AS s2, sum(f3*area) AS s3, sum(f5*area) AS s5 FROM flux GROUP BY cell_id)"
+    moved = f"moved AS (SELECT s.id, rho - ({dt}/volume)*sums.s1 AS rho, rho*vx - ({dt}/volume)*sums.s2 AS mx, rho*vy - ({dt}/volume)*sums.s3 AS my, e - ({dt}/volume)*sums.s5 AS e FROM {before} s JOIN sums ON sums.cell_id = s.id JOIN cells c ON c.cell_id = s.id)"
+    text = f"{rows}, {hll('rows', 'cell_id, area')}, {sums}, {moved}"
+    for name in ("rows", "h1", "h2", "h3", "flux", "sums", "moved"):
+        text = re.sub(rf"\b{name}\b", f"{name}_{after}", text)
+    return f"{text}, {after} AS (SELECT id, rho, mx/rho AS vx, my/rho AS vy, 0::double AS vz, e FROM moved_{after})"
