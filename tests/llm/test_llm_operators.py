@@ -183,6 +183,38 @@ def test_fm_index_matches():
             assert found[i] == (min(want) if want else np.iinfo(np.int64).max)
 
 
+def test_substring_dedup_of_a_very_long_text(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randint(0, 5000)}" for _ in range(200_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[50_000:150_000])), (3, "r " * 300_000), (4, "r " * 60), (5, None)]
+    assert len(rows[0][1]) > 1_000_000
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.substring_dedup(documents(spark, rows)).collect()}
+    assert got == {1: (200_000, 0), 2: (100_000, 100_000), 3: (300_000, 0), 4: (60, 60), 5: (0, 0)}
+
+
+def test_registered_queries_give_their_columns(spark):
+    """The queries themselves, on the smallest tables."""
+    import os
+
+    from voxelweave.llm import queries
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no test tables")
+    want = {
+        "op1_licenses": ["doc_id", "sequence", "licenses", "n_matches", "leftover"], "op2_html": ["page_id", "url", "text", "n_chars"], "op3_toxicity": ["doc_id", "held_out", "score", "predicted"],
+        "op4_substring_dedup": ["doc_id", "n_words", "n_removed", "kept_sha256"], "op5_language_id": ["doc_id", "held_out", "lang_pred", "score"],
+        "op6_gif": ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"], "op7_simhash": ["doc_id", "fingerprint", "component_id"],
+        "op8_mixing": ["doc_id", "size", "source_size", "target", "taken"], "op9_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], "op10_exact_dedup": ["doc_id", "keep_id", "group_size", "kept", "text_sha256"],
+    }
+    assert list(queries.queries()) == list(want)
+    n = {name: spark.read.parquet(f"{data}/{name}.parquet").count() for name in ("documents", "pages")}
+    for name, query in queries.queries().items():
+        got = query(spark, data)
+        assert got.columns == want[name]
+        assert got.count() == n["pages" if name == "op2_html" else "documents"]
+
+
 # ---------------------------------------------------------------- language ID
 
 
@@ -417,6 +449,14 @@ def test_gif_frames(spark):
     assert sum(cols[4]["gif_frames"][0]["histogram"]) == 64
 
 
+def test_gif_of_empty_tables_and_features(spark):
+    assert gif.store_texts(documents(spark, [])).count() == 0
+    got = gif.store_texts(documents(spark, [(1, "ab"), (2, "ab"), (3, "z" * 70_000), (4, "Ä" * 600_000)])).collect()
+    by = {r["doc_id"]: r for r in got}
+    assert by[1]["feature"] == by[2]["feature"] == f"frames=1;ms=40;rgb=000:62,{0o333:03o}:2"
+    assert by[3]["feature"].startswith("frames=2;ms=80;") and by[4]["n_bytes"] == 1_200_000
+
+
 # ---------------------------------------------------------------- licences
 
 

@@ -120,3 +120,54 @@ def test_near_copies_are_those_at_08(spark, small, block):
     assert got == dict(enumerate(label))
     kept = {r["doc_id"] for r in simhash.drop_near_copies(df).collect()}
     assert kept == set(label) | {None}
+
+
+CLASHES = ["gone", "sha", "by_id", "rank", "taken_id", "times", "words", "copy", "held_out", "node", "label", "u", "v", "keys", "bits", "n", "fp"]
+
+
+def through(spark, docs):
+    """The rows after each stage but the last, and the last stage's."""
+    out = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, ""), name)
+        out.append(docs)
+    return out
+
+
+def test_empty_table_passes(spark):
+    pytest.importorskip("public_tokenizers")
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = through(spark, docs)
+    assert [d.count() for d in stages] == [0] * 5
+    assert all(d.columns == NAMES for d in stages[:-1])
+
+
+def test_nulls_repeats_and_clashing_names_pass(spark):
+    pytest.importorskip("public_tokenizers")
+    rows = corpus()[:60]
+    rows += rows[:5] + [(None, rows[6][1], None, None, None), (None, rows[7][1] + " more", "aa", "x", 1), (900, rows[8][1], None, None, None)]
+    full = [(*r, *range(len(CLASHES))) for r in rows]
+    docs = spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in CLASHES))
+    stages = through(spark, docs)
+    assert all(d.columns == NAMES + CLASHES for d in stages[:-1])
+    assert all(tuple(r)[5:] == tuple(range(len(CLASHES))) for d in stages[:-1] for r in d.collect())
+    exact = [r["doc_id"] for r in stages[1].collect()]
+    assert exact.count(rows[0][0]) == 1 and 900 not in exact and exact.count(None) == 1  # 6 and 8 have smaller ids
+    assert None in [r["doc_id"] for r in stages[2].collect()]
+    assert stages[4].count() == stages[3].count()
+
+
+def test_a_very_long_text_passes_whole(spark):
+    pytest.importorskip("public_tokenizers")
+    rng = random.Random(3)
+    words = ["".join(rng.choice(["ka", "lo", "mi", "ru"]) for _ in range(rng.randint(1, 5))) for _ in range(200_000)]
+    long = " ".join(words)  # over a million characters
+    assert len(long) > 1_000_000
+    rows = [(r[0], r[1], "aa", "x", 0) for r in corpus()[:30]] + [(500, long, "aa", "x", 0), (501, long.replace(" ", "\n"), "aa", "x", 0), (502, long + " end", "aa", "x", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stages = through(spark, docs)
+    kept = lambda k: {r["doc_id"] for r in stages[k].collect()} & {500, 501, 502}
+    assert (kept(0), kept(1), kept(2)) == ({500, 501, 502}, {500, 502}, {500})
+    last = {r["doc_id"]: r for r in stages[4].collect()}
+    if 500 in last:
+        assert last[500]["decoded_sha256"] == hashlib.sha256(long.encode()).hexdigest()

@@ -5,8 +5,9 @@ under the disposal and transparency rules. ``write`` stores 8-bit samples lossle
 before the codes would need a tenth bit, which makes packing a vector operation; the reader decodes full LZW with
 growing codes, deferred clears included, and takes a vector path for code runs in which every code stands for itself.
 
-Defined cases: null payloads count as empty and store one row of zeros; repeated rows agree; a damaged stream raises
-ValueError in ``read`` and gives null columns in ``media_columns``; an empty table gives no rows.
+Defined cases: null payloads count as empty and store one row of zeros; repeated rows agree; a very long text takes as many
+frames as it fills; a damaged stream raises ValueError in ``read`` and gives null columns in ``media_columns``, which
+raises if its own column names are taken; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -278,8 +279,8 @@ def composed(width: int, height: int, frames: list[Frame]) -> None:
 def histogram(f: Frame, bins: int = 4) -> list[int]:
     """Counts of the shown colours in bins x bins x bins cells of RGB; transparent pixels are left out."""
     rgba = f.canvas.reshape(-1, 4)
-    rgba = rgba[rgba[:, 3] > 0].astype(np.int64) * bins // 256
-    return np.bincount((rgba[:, 0] * bins + rgba[:, 1]) * bins + rgba[:, 2], minlength=bins**3).tolist()
+    rgb = rgba[rgba[:, 3] > 0, :3].astype(np.int32) * bins // 256
+    return np.bincount((rgb[:, 0] * bins + rgb[:, 1]) * bins + rgb[:, 2], minlength=bins**3).tolist()
 
 
 # ---------------------------------------------------------------- DataFrames
@@ -320,17 +321,19 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     """Each text's UTF-8 bytes, padded with zeros to a positive multiple of 64, as a GIF, read back from its bytes.
 
     doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, and with keep_media
-    the GIF itself. feature: frames, total delay, and the samples' counts in 16 equal grey bins.
+    the GIF itself. feature: frames, total delay, and the pixels of all composed frames in each cell of the colour
+    histogram that has any.
     """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep_media
 
     def one(text):
         raw = (text or "").encode("utf-8", "replace")
         media = write(raw + bytes(max(1, -(-len(raw) // WIDTH)) * WIDTH - len(raw)))
-        frames = read(media, compose=False)[2]
+        frames = read(media)[2]
         back = b"".join(f.samples.tobytes() for f in frames)
-        grey = sum(np.bincount(f.palette[:, 0][f.samples.ravel()] >> 4, minlength=16) for f in frames)
-        feature = f"frames={len(frames)};ms={sum(f.delay_ms for f in frames)};hist=" + ",".join(map(str, grey.tolist()))
+        colours = np.sum([histogram(f, 8) for f in frames], axis=0)
+        cells = np.flatnonzero(colours)
+        feature = f"frames={len(frames)};ms={sum(f.delay_ms for f in frames)};rgb=" + ",".join(f"{k:03o}:{n}" for k, n in zip(cells.tolist(), colours[cells].tolist()))
         row = (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature)
         return (*row, media) if keep_media else row
 

@@ -6,15 +6,19 @@ frac((t + 1) * phi), which the cumulative target weights map to a source; the r-
 Targets: sources in code point order (null last) weigh 5, 2, 1, repeating; they share ``share`` times all words, none
 above ``cap`` times its own size, the excess being dealt out anew by weight.
 
-Ranks and stream positions are prefix sums of two levels (bucket totals, then rows in a bucket), so that no source, a
-hot one included, has to pass through one task as a whole.
+Ranks and stream positions are prefix sums of two levels (bucket totals, then rows in a bucket; buckets by the shuffling
+hash's first digits, as many as the table's size asks for), so that no source, a hot one included, has to pass through one
+task as a whole.
 
 Defined cases: null text has size 0 and is never taken; a table without words gives targets of 0; null sources form one
-group, repeated rows are mixed as rows of their own; an empty table gives no rows.
+group, repeated rows are mixed as rows of their own; a very long text is one row of its stream, cut into as many blocks as
+it fills; other columns are left alone, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +26,8 @@ from voxelweave.llm.common import fresh, materialise
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP, BLOCK = 1.5, 2, 128
+#: Rows aimed at in a bucket of a source's stream.
+PER_BUCKET = 8192
 #: frac(golden ratio) and frac(2**20 * golden ratio), for points that keep their precision for any t.
 PHI, PHI_HIGH = 0.6180339887498949, (0.6180339887498949 * (1 << 20)) % 1.0
 
@@ -78,9 +84,11 @@ def schedule(by_source: DataFrame, block: int = BLOCK, chunk: int = 1 << 16) ->
 
 def stream(rows: DataFrame, rounds: int, seed: str) -> DataFrame:
     """Adds round and start: where the row's words begin in its source's stream. rows: n, doc_id, size, text_key."""
+    count = rows.count()
     rows = rows.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
     rows = rows.withColumn("mixed", F.md5(F.concat_ws("/", F.lit(seed), F.col("round").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    rows = rows.withColumn("bucket", F.substring("mixed", 1, 2))
+    digits = max(2, math.ceil(math.log(max(1, count) / PER_BUCKET, 16)))  # so a bucket's size doesn't grow with the table
+    rows = rows.withColumn("bucket", F.substring("mixed", 1, digits))
     totals = rows.groupBy("n", "round", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("n").orderBy("round", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("n", "round", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
