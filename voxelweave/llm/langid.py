@@ -122,23 +122,27 @@ class Model:
         into.update({x: first + k for x, k in names.items()})
         return (table - top - np.log(np.exp(table - top).sum(axis=1, keepdims=True))).astype(np.float32)
 
-    def word(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
+    def evidence(self, part: str) -> list[int]:
+        """The rows of a known word, or of the known n-grams of the largest n that has any."""
+        known = self.words.get(part)
         if known is not None:
-            return self.table[known]
-        total, of, get = np.zeros(len(self.langs), np.float32), 0, self.grams.get
+            return [known]
+        get = self.grams.get
+        for n in range(LONGEST, 0, -1):
+            if found := [r for g in grams(part, n) if (r := get(g)) is not None]:
+                return found
+        return []
+
+    def run(self, word: str) -> tuple[np.ndarray, float]:
+        """A letter run's scores and weight: 1 for a word; a long run's blocks count by their letters."""
+        total, letters = np.zeros(len(self.langs), np.float32), 0
         for part in blocks(word):
-            letters = len(grams(part, 1))
-            for n in range(LONGEST, 0, -1):
-                found = [r for g in grams(part, n) if (r := get(g)) is not None]
-                if found:
-                    mean = self.table[found].mean(axis=0)
-                    if len(word) <= BLOCK:
-                        return mean
-                    total += mean * letters
-                    break
-            of += letters
-        return total / max(1, of)
+            found, size = self.evidence(part), len(grams(part, 1))
+            if found:
+                total += self.table[found].mean(axis=0) * size
+            letters += size
+        weight = max(1.0, len(word) / BLOCK)
+        return total / letters * weight, weight
 
 
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 1500, entries: int = 200_000, most_languages: int = 500) -> Model:
@@ -175,27 +179,40 @@ class Scorer:
         self.at: dict[str, int] = {}
         self.table = np.zeros((self.room, len(model.langs) + 1), np.float32)
 
-    def row(self, token: str) -> int:
-        k = self.at[token] = len(self.at)
-        runs = letter_runs(token)
-        self.table[k] = 0
-        for w in runs:
-            weight = max(1, len(w) / BLOCK)
-            self.table[k, :-1] += self.model.word(w) * weight
-            self.table[k, -1] += weight
-        return k
+    def learn(self, tokens: list[str]) -> None:
+        """Makes the rows of tokens not held yet: the sums of their runs' scores, and of the runs' weights."""
+        first, evidence, of, size = len(self.at), [], [], []
+        self.table[first : first + len(tokens)] = 0
+        for k, token in enumerate(tokens, first):
+            self.at[token] = k
+            runs = (token,) if token.isalpha() else letter_runs(token)
+            if len(runs) == 1 and len(runs[0]) <= BLOCK:
+                self.table[k, -1] = 1
+                if found := self.model.evidence(runs[0]):
+                    evidence += found
+                    of.append(k)
+                    size.append(len(found))
+            else:
+                for scores, weight in map(self.model.run, runs):
+                    self.table[k, :-1] += scores
+                    self.table[k, -1] += weight
+        if of:
+            starts = np.cumsum(size) - size
+            self.table[of, :-1] = np.add.reduceat(self.model.table[evidence], starts, axis=0) / np.array(size, np.float32)[:, None]
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         if not text or not self.model.langs:
             return UNKNOWN, 0.0
         counts = list(Counter(text.lower().split()).items())
         total = np.zeros(len(self.model.langs) + 1)
-        for at in range(0, len(counts), self.room // 3):
-            part = counts[at : at + self.room // 3]
+        for first in range(0, len(counts), self.room // 3):
+            part = counts[first : first + self.room // 3]
             if len(self.at) + len(part) > self.room:
                 self.at.clear()
-            get, row = self.at.get, self.row
-            rows = [k if (k := get(t)) is not None else row(t) for t, _ in part]
+            at = self.at
+            if new := [t for t, _ in part if t not in at]:
+                self.learn(new)
+            rows = [at[t] for t, _ in part]
             total += np.array([c for _, c in part], np.float64) @ self.table[rows].astype(np.float64)
         n = total[-1]
         if not n:
