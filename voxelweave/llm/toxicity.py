@@ -291,7 +291,6 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence (nearest examples): one row for each input row."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches):
         model = shared.value
@@ -299,8 +298,11 @@ def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col:
         for b in slices(batches):
             found = [model.score(terms.counts(t)) for t in b.column(2).to_pylist()]
             scores = [min(1.0, max(0.0, s)) for s, _, _ in found]
-            evidence = [[{"doc_id": d, "similarity": s, "toxic": t} for d, s, t in zip(index.ids[near].tolist(), similarity.tolist(), index.toxic[near].tolist())] for _, similarity, near in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(evidence, kind)], names=["doc_id", "held_out", "score", "predicted", "evidence"])
+            ends = np.append(0, np.cumsum([len(near) for _, _, near in found]))
+            near = np.concatenate([near for _, _, near in found])
+            flat = pa.StructArray.from_arrays([pa.array(index.ids[near]), pa.array(np.concatenate([s for _, s, _ in found])), pa.array(index.toxic[near], pa.int32())], names=["doc_id", "similarity", "toxic"])
+            evidence = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), evidence], names=["doc_id", "held_out", "score", "predicted", "evidence"])
 
     rows = train_rows(documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).select("doc_id", "held_out", "text")
     return kernel(rows, run, "doc_id long, held_out boolean, score double, predicted int, evidence array<struct<doc_id: long, similarity: double, toxic: int>>")
