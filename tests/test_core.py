@@ -313,6 +313,24 @@ def test_time_steps_come_with_the_state(spark):
     assert {r["id"]: r["dt"] for r in after.collect()} == pytest.approx(own)
 
 
+def test_steps_leave_the_faces_where_they_are(spark, capsys):
+    """No exchange stands right above one of the kept tables in a step's plan."""
+    run = simulation.start(points.sod(made(spark, scattered(80)), CONFIG), CONFIG)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        hydro.step(run.faces, lineage.materialise(run.state, "state"), 1e-3, CONFIG).explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    plan = [x.lstrip(" :+-*()0123456789") for x in capsys.readouterr().out.splitlines()]
+    kept = [k for k, x in enumerate(plan) if x.startswith("InMemoryTableScan")]
+    assert len(kept) == 2
+    for k in kept:
+        above = next(x for x in reversed(plan[:k]) if not x.startswith(("Filter", "Project", "ColumnarToRow")))
+        assert not above.startswith("Exchange")
+    run.faces.unpersist()
+
+
 def test_evolve_reports_and_replaces_its_tables(spark):
     import os
 
@@ -398,6 +416,22 @@ def test_lloyd_moves_to_means_and_keeps_unbounded(spark):
     assert moved.where("x < 0 or x > 1 or y < 0 or y > 1").count() == 0
 
 
+def test_lloyd_of_solid_cells_moves_to_the_mean_of_their_vertices(spark):
+    rows = scattered(60, 3, 8)
+    moved = {r["id"]: (r["x"], r["y"], r["z"]) for r in voronoi.lloyd(made(spark, rows, 3), MeshConfig(dim=3, k=59, k_max=59, buff=0.0)).collect()}
+    c, _, points = cut([p[1:] for p in rows])
+    bounded = 0
+    for s in range(60):
+        faces = np.flatnonzero(c.cell == s)
+        if (c.label[faces] < 0).any():
+            assert moved[s] == pytest.approx(points[s])
+            continue
+        bounded += 1
+        verts = np.unique(np.round(np.vstack([c.verts[c.first[f] : c.first[f + 1]] for f in faces]), 10), axis=0)
+        assert moved[s] == pytest.approx(verts.mean(axis=0))
+    assert bounded
+
+
 def test_sinks(spark, tmp_path):
     p = points.sod(made(spark, scattered(80)), CONFIG)
     run = simulation.start(p, CONFIG)

@@ -54,6 +54,7 @@ def prepared(adj: DataFrame, cells: DataFrame, config: MeshConfig, parts: int |
     edges = adj.select("src_id", "cell_id", "face_no").repartition(parts, "src_id")
     if keep:
         own, edges = (df.persist(StorageLevel.MEMORY_AND_DISK) for df in (own, edges))
+        own.count(), edges.count()  # only a finished cache tells the planner how it is dealt out
     return Faces(own, edges)
 
 

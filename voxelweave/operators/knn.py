@@ -16,6 +16,7 @@ comes back as uncertified.
 
 from __future__ import annotations
 
+import logging
 import math
 from functools import reduce
 
@@ -27,6 +28,8 @@ from voxelweave.functions.geometry import dist2
 from voxelweave.lineage import materialise
 from voxelweave.operators import grid
 
+log = logging.getLogger(__name__)
+
 #: Points of a bucket from which it is searched by levels, and how often a side may be halved.
 DENSE, HALVINGS = 64, 24
 UNIT_BALL = {2: math.pi, 3: 4.0 * math.pi / 3.0}
@@ -119,6 +122,7 @@ def knn(points: DataFrame, k: int, dim: int = 2, asked: DataFrame | None = None,
         n_open = open_rows.count() if n_open is None else n_open
         sure = found.where("certified and rank = 0").select("id")
         n_open -= sure.count()
+        log.info("neighbours: %d of %d points left after ring %d", n_open, total, ring)
         if not n_open:
             break
         open_rows = materialise(open_rows.join(sure, "id", "left_anti"), "knn-open")

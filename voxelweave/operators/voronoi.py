@@ -6,6 +6,7 @@ security radius isn't reached search again with twice as many neighbours, up to
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
 import numpy as np
@@ -20,6 +21,8 @@ from voxelweave.operators import cellkernel, ghosts
 from voxelweave.operators.knn import knn
 from voxelweave.operators.prefix import running_sum
 
+log = logging.getLogger(__name__)
+
 FACE = "struct<face_no: int, neighbor_cell: long, nx: double, ny: double, nz: double, area: double, verts: array<struct<x: double, y: double, z: double>>>"
 
 
@@ -81,6 +84,7 @@ def mesh(points: DataFrame, config: MeshConfig, asked: DataFrame | None = None,
             break
         done.append(found.where("status != 'security_radius_not_reached'"))
         open_rows = materialise(open_rows.join(short, "id", "left_semi"), "cells-open")
+        log.info("cells: %d need more than %d neighbours", open_rows.count(), k)
         k = min(2 * k, config.k_max)
     return reduce(DataFrame.unionByName, done)
 
