@@ -7,8 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of the source for each file of a table that is made from it, and files for each core at least.
+#: Bytes of the source for each file of a table that is made from it, and files for each core at least. Light tables, with
+#: a few numbers for each row of the source at most, get a sixteenth and one.
 FILE_BYTES, FILES_PER_CORE = 32 << 20, 4
+LIGHT_BYTES, LIGHT_PER_CORE = 512 << 20, 1
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -27,13 +29,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def most_files(source: DataFrame) -> int:
+def most_files(source: DataFrame, light: bool = False) -> int:
     """In how many files at most to write what is made from ``source``, by the size of its files."""
+    least, each = (LIGHT_PER_CORE, LIGHT_BYTES) if light else (FILES_PER_CORE, FILE_BYTES)
     size = int(str(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(FILES_PER_CORE * source.sparkSession.sparkContext.defaultParallelism, min(size // FILE_BYTES, (1 << 31) - 1))
+    return max(least * source.sparkSession.sparkContext.defaultParallelism, min(size // each, (1 << 31) - 1))
 
 
-def materialise(df: DataFrame, name: str, source: DataFrame | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str, source: DataFrame | None = None, light: bool = False) -> DataFrame:
     """Writes df as Parquet and reads it back, so that a lost executor costs no recomputation of what came before.
 
     With ``source``, a table of known size that df is made from, partitions are joined into no more files than that size
@@ -41,7 +44,7 @@ def materialise(df: DataFrame, name: str, source: DataFrame | None = None) -> Da
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    (df if source is None else df.coalesce(most_files(source))).write.parquet(path)
+    (df if source is None else df.coalesce(most_files(source, light))).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch = path
     return out
