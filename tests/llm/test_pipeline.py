@@ -122,6 +122,16 @@ def test_near_copies_are_those_at_08(spark, small, block):
     assert kept == set(label) | {None}
 
 
+def test_sets_are_the_same_by_bits_and_by_shuffle(spark):
+    rows = [(r[0], r[1]) for r in corpus()[:120]] + [(900, None), (901, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = jaccard.prints(df, "doc_id", "text", 5)
+    nodes = prints.where("doc_id % 3 = 0").select("node", "th").dropDuplicates(["node"])
+    got = [{r["node"]: bytes(r["found"]) for r in jaccard.sets_of(df, nodes, "text", 5, most).collect()} for most in (1 << 26, 1)]
+    assert got[0] == got[1] and len(got[0]) == nodes.count()
+    assert all(jaccard.node_of(np.frombuffer(x, np.uint64)) == k for k, x in got[0].items())
+
+
 CLASHES = ["gone", "sha", "by_id", "rank", "taken_id", "times", "words", "copy", "held_out", "node", "label", "u", "v", "keys", "bits", "n", "fp"]
 
 

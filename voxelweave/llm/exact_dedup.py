@@ -228,7 +228,7 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     names = df.columns
     sha, by_id, by_sha, rank = fresh(df, "sha", "by_id", "by_sha", "rank")
-    found = materialise(exact_dedup(df, id_col, text_col).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"), "copies", df)
+    found = materialise(exact_dedup(df, id_col, text_col).groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("not kept or n > 1"), "copies", df, light=True)
     clean = F.translate(F.coalesce(F.col(text_col), F.lit("")), WS, "")
     keyed = df.withColumn(sha, F.sha2(clean, 256))
 

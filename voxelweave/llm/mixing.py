@@ -102,7 +102,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     lean = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), sizes(df, text_col).alias("size"))
     lean = lean.groupBy("doc_id", "source", "size").agg(F.count("*").alias("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
     lean = materialise(lean, "mix-sizes", df)
-    by = materialise(targets(lean, weights, share, cap), "mix-targets", df)
+    by = materialise(targets(lean, weights, share, cap), "mix-targets", df, light=True)
     rows = lean.join(by, lean["source"].eqNullSafe(by["source"])).select("n", "doc_id", "size", "copy", "source_size", "target")
     slots = schedule(by, block).groupBy("n", "block").agg(F.count("*").alias("times"))
     laid = stream(rows.where("size > 0"), int(cap), seed)

@@ -245,12 +245,12 @@ def components(edges: DataFrame, source: DataFrame | None = None, rounds: int =
     def state(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    edges = materialise(edges, "links", source)
+    edges = materialise(edges, "links", source, light=True)
     seen = state(edges)
     for _ in range(rounds):
         if not seen[0]:
             break
-        before, edges = edges, materialise(star(star(edges, True), False), "stars", source)
+        before, edges = edges, materialise(star(star(edges, True), False), "stars", source, light=True)
         discard(before)
         now = state(edges)
         if now == seen:
@@ -279,7 +279,7 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     (name,) = fresh(df, "gone")
     gone = jaccard.near_copies(df, id_col, text_col, width).where("doc_id > component_id").select(F.col("doc_id").alias(name)).distinct()
-    gone = materialise(gone, "near-gone", df)
+    gone = materialise(gone, "near-gone", df, light=True)
     if gone.count() <= FEW_IDS:  # else df meets them in a shuffle
         gone = F.broadcast(gone)
     return df.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")
