@@ -30,8 +30,6 @@ from voxelweave.llm.common import hash_fraction, kernel, slices, train_rows
 
 EXAMPLES, NEIGHBOURS, BLOCK, COMMON = 4000, 4, 64, 0.05
 RUN = re.compile(r"[^\W\d_]+")
-#: Marks around words that are taken off without a pattern.
-MARKS = ".,;:!?()'\"-"
 #: Letters of the word beginnings that may be chosen as terms, so that inflected and compounded forms share one.
 STEMS = (4, 5, 6, 7, 8)
 
@@ -41,47 +39,30 @@ def beginnings(word: str) -> list[str]:
 
 
 class Terms:
-    """Counts the vocabulary's terms in texts; what recent tokens hold is kept, ``room`` tokens at most."""
+    """Finds the vocabulary's terms in texts: whole words by set operations, beginnings only of words that start like one."""
 
-    def __init__(self, vocabulary: dict[str, int], room: int = 200_000):
-        self.vocabulary, self.room = vocabulary, room
+    def __init__(self, vocabulary: dict[str, int]):
+        self.vocabulary = vocabulary
         self.heads = {x[: STEMS[0]] for x in vocabulary if x.endswith("-")}
-        self.seen: dict[str, tuple[int, ...]] = {}
-
-    def miss(self, token: str) -> tuple[int, ...]:
-        if len(self.seen) > self.room:
-            self.seen.clear()
-        get, heads, first = self.vocabulary.get, self.heads, STEMS[0]
-        found = []
-        bare = token.strip(MARKS)
-        for w in (bare,) if bare.isalpha() else RUN.findall(token):
-            if (k := get(w)) is not None:
-                found.append(k)
-            if w[:first] in heads:
-                found += [k for x in beginnings(w) if (k := get(x)) is not None]
-        self.seen[token] = out = tuple(found)
-        return out
 
     def present(self, text: str | None) -> set[int]:
-        out: set[int] = set()
-        get, miss = self.seen.get, self.miss
-        for token in set(text.lower().split()) if text else ():
-            found = get(token)
-            if found is None:
-                found = miss(token)
-            if found:
-                out.update(found)
+        if not text:
+            return set()
+        words, get, first, heads = set(RUN.findall(text.lower())), self.vocabulary.get, STEMS[0], self.heads
+        out = {get(w) for w in self.vocabulary.keys() & words}
+        out.update(k for w in words if w[:first] in heads for x in beginnings(w) if (k := get(x)) is not None)
         return out
 
     def counts(self, text: str | None) -> dict[int, int]:
-        out: dict[int, int] = {}
-        get, miss = self.seen.get, self.miss
-        for token, c in Counter(text.lower().split()).items() if text else ():
-            found = get(token)
-            if found is None:
-                found = miss(token)
-            for k in found:
-                out[k] = out.get(k, 0) + c
+        if not text:
+            return {}
+        words, get, first, heads = Counter(RUN.findall(text.lower())), self.vocabulary.get, STEMS[0], self.heads
+        out = {get(w): words[w] for w in self.vocabulary.keys() & words.keys()}
+        for w in words:
+            if w[:first] in heads:
+                for x in beginnings(w):
+                    if (k := get(x)) is not None:
+                        out[k] = out.get(k, 0) + words[w]
         return out
 
 
@@ -251,7 +232,9 @@ class Model:
 
     def unit(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         terms = np.fromiter(counts, np.int64, len(counts))
-        w = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.scale[terms]
+        order = np.argsort(terms)  # sums run in one order, so that reruns agree to the last bit
+        terms = terms[order]
+        w = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts))[order])) * self.scale[terms]
         return terms, w / max(np.sqrt((w * w).sum()), 1e-300)
 
     def vote(self, similarity: np.ndarray, near: np.ndarray) -> float:
