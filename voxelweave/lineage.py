@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of the source for each file of a table that is made from it, and files for each core at least. Light tables, with
 #: a few numbers for each row of the source at most, get a sixteenth and one.
-FILE_BYTES, FILES_PER_CORE = 32 << 20, 4
-LIGHT_BYTES, LIGHT_PER_CORE = 512 << 20, 1
+FILE_BYTES, FILES_PER_CORE = 128 << 20, 2
+LIGHT_BYTES, LIGHT_PER_CORE = 2 << 30, 1
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -36,6 +36,11 @@ def most_files(source: DataFrame, light: bool = False) -> int:
     return max(least * source.sparkSession.sparkContext.defaultParallelism, min(size // each, (1 << 31) - 1))
 
 
+def few_files(df: DataFrame, source: DataFrame) -> DataFrame:
+    """df, made from ``source``, with partitions joined so that it is written in as many files as its size asks for."""
+    return df.coalesce(most_files(source))
+
+
 def materialise(df: DataFrame, name: str, source: DataFrame | None = None, light: bool = False) -> DataFrame:
     """Writes df as Parquet and reads it back, so that a lost executor costs no recomputation of what came before.
 
