@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelweave.lineage import discard, materialise, scratch_dir
+from voxelweave.lineage import discard, few_files, materialise, scratch_dir
 
-__all__ = ["FEW_IDS", "SLICE", "WS", "WS_BYTES", "discard", "fresh", "hash_fraction", "kernel", "materialise", "scratch_dir", "slices", "table", "train_rows", "words"]
+__all__ = ["FEW_IDS", "SLICE", "WS", "WS_BYTES", "discard", "few_files", "fresh", "hash_fraction", "kernel", "materialise", "scratch_dir", "slices", "table", "train_rows", "words"]
 
 #: Characters that separate words: space and U+0009 to U+000D.
 WS = " \t\n\x0b\x0c\r"

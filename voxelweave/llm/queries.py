@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelweave.llm import bpe, exact_dedup, gif, html_extract, langid, licenses, mixing, simhash, substring_dedup, toxicity
-from voxelweave.llm.common import table
+from voxelweave.llm.common import few_files, table
 
 
 def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,16 +23,17 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted")
+    return few_files(toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted"), docs)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    docs = table(spark, sf_dir, "documents")
+    return few_files(substring_dedup.substring_dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256"), docs)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return langid.predict(docs, langid.fit(docs))
+    return few_files(langid.predict(docs, langid.fit(docs)), docs)
 
 
 def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,12 +41,14 @@ def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_dedup(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    docs = table(spark, sf_dir, "documents")
+    found = simhash.near_dedup(docs)
+    return few_files(found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"), docs)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return few_files(mixing.mix(docs), docs)
 
 
 def tokenizer_path() -> str:
@@ -60,7 +63,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return few_files(exact_dedup.exact_dedup(docs), docs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
