@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelweave.lineage import discard, few_files, materialise, scratch_dir
+from voxelweave.lineage import discard, few_files, materialise, most_files, scratch_dir
 
 __all__ = ["FEW_IDS", "SLICE", "WS", "WS_BYTES", "discard", "few_files", "fresh", "hash_fraction", "kernel", "materialise", "scratch_dir", "slices", "table", "train_rows", "words"]
 
@@ -46,8 +46,14 @@ def give_back() -> None:
         pass
 
 
-def kernel(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """df.mapInArrow(run, schema); each partition ends with its worker's free memory given back."""
+def kernel(df: DataFrame, run: Callable, schema, source: DataFrame | None = None, light: bool = False) -> DataFrame:
+    """df.mapInArrow(run, schema); each partition ends with its worker's free memory given back.
+
+    With ``source``, df's partitions are joined first into no more than the files that a table made from it gets. Joined
+    afterwards, each would keep its Arrow buffers up to the task's end.
+    """
+    if source is not None:
+        df = df.coalesce(most_files(source, light))
 
     def lean(batches):
         try:

@@ -23,17 +23,16 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return few_files(toxicity.score(docs, model).select("doc_id", "held_out", "score", "predicted"), docs)
+    return toxicity.score(few_files(docs, docs), model).select("doc_id", "held_out", "score", "predicted")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return few_files(substring_dedup.substring_dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256"), docs)
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return few_files(langid.predict(docs, langid.fit(docs)), docs)
+    return langid.predict(few_files(docs, docs), langid.fit(docs))
 
 
 def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:

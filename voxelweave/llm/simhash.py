@@ -67,7 +67,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             fps = [majority(shingle_hashes(t, width)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    return kernel(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, fp long")
+    return kernel(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, fp long", df)
 
 
 def keys(fps: DataFrame, tau: int = TAU) -> DataFrame:
@@ -215,7 +215,7 @@ def key_links(batches, tau: int, limit: int | None = None):
 def links(fps: DataFrame, block: int = BLOCK, tau: int = TAU, source: DataFrame | None = None) -> DataFrame:
     """u, v (u != v): links whose components are those of all pairs within tau. fps: different values of fp."""
     keyed, schema = keys(fps, tau), "u long, v long, large long"
-    first = kernel(keyed.repartition("key").sortWithinPartitions("key"), lambda batches: key_links(batches, tau, block), schema)
+    first = kernel(keyed.repartition("key").sortWithinPartitions("key"), lambda batches: key_links(batches, tau, block), schema, source)
     first = materialise(first, "links", source)
     edges = first.where("large is null").select("u", "v")
     large = first.where("large is not null").select(F.col("large").alias("key")).distinct()

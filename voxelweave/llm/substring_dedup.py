@@ -202,11 +202,11 @@ def dealt(contents: DataFrame, chunk: int) -> DataFrame:
 def repeated_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, shard_words: int = SHARD_WORDS, chunk: int = CHUNK) -> DataFrame:
     """doc_order, doc_key, spans: word intervals [first, past) to remove, one row for each document that has any."""
     rows = keyed(df, id_col, text_col)
-    runs = materialise(kernel(rows, anchor_runs(window, gram), "anchor long, doc_order long, doc_key long, first long, last long"), "anchors", df)
+    runs = materialise(kernel(rows, anchor_runs(window, gram), "anchor long, doc_order long, doc_key long, first long, last long", df), "anchors", df)
     shared = runs.groupBy("anchor").agg(F.min("doc_order").alias("low"), F.max("doc_order").alias("high")).where("low < high").select("anchor")
     by_doc = runs.join(shared, "anchor").groupBy("doc_order", "doc_key").agg(F.collect_set(F.struct("anchor", "first", "last")).alias("runs"))
     texts = rows.join(by_doc, ["doc_order", "doc_key"]).select("doc_order", "doc_key", "text", "runs").sortWithinPartitions("doc_order")
-    segments = materialise(kernel(texts, cut_segments(window), "anchor long, segment binary, doc_order long, doc_key long, first long, content binary"), "segments", df)
+    segments = materialise(kernel(texts, cut_segments(window), "anchor long, segment binary, doc_order long, doc_key long, first long, content binary", df), "segments", df)
     contents = segments.where("content is not null").select("anchor", "segment", "doc_order", "content")
     calls = dealt(contents, chunk).repartition("anchor", "a").sortWithinPartitions("anchor", "a", "role", "segment", "doc_order")
     owners = kernel(calls, shards(window, shard_words), "segment binary, offset long, n_windows long, owner long")
@@ -250,4 +250,4 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spans = repeated_words(df, id_col, text_col, **settings)
     rows = keyed(df, id_col, text_col).join(spans, ["doc_order", "doc_key"], "left").select("doc_id", "text", "spans")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<first: long, past: long>>" + ", kept_text string" * keep_text
-    return kernel(rows, remove(keep_text), schema)
+    return kernel(rows, remove(keep_text), schema, df)
