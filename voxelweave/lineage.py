@@ -7,10 +7,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes of the source for each file of a table that is made from it, and files for each core at least. Light tables, with
-#: a few numbers for each row of the source at most, get a sixteenth and one.
+#: Bytes of the source for each file of a table that is made from it, and files for each core at least; the same for light
+#: tables, with a few numbers for each row of the source at most.
 FILE_BYTES, FILES_PER_CORE = 32 << 20, 4
-LIGHT_BYTES, LIGHT_PER_CORE = 512 << 20, 1
+LIGHT_BYTES, LIGHT_PER_CORE = 64 << 20, 4
 
 
 def scratch_dir(spark: SparkSession) -> str:
