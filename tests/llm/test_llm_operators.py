@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from voxelweave.lineage import materialise
 from voxelweave.llm import boosting, bpe, exact_dedup, gif, html_extract, langid, licenses, mixing, simhash, substring_dedup, toxicity
 from voxelweave.llm.fmindex import FMIndex
 
@@ -172,6 +173,23 @@ def test_substring_dedup_edges(spark):
     assert substring_dedup.substring_dedup(documents(spark, [])).count() == 0
 
 
+def test_substring_dedup_over_many_partitions(spark):
+    """More partitions than a table gets files: those joined in a task don't follow each other by doc_id."""
+    rng = random.Random(11)
+    pool = [[f"p{i}w{j}" for j in range(200)] for i in range(30)]
+    rows = [(i, " ".join([f"own{i}", *rng.choice(pool), f"own{i}", *rng.choice(pool)])) for i in range(300)]
+    own = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        got = substring_dedup.substring_dedup(materialise(documents(spark, rows), "docs")).collect()  # a table, whose size is known
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == brute_repeats(rows, 50)
+
+
 def test_fm_index_matches():
     rng = np.random.default_rng(2)
     texts = [rng.integers(1, 4, rng.integers(1, 60)) for _ in range(20)]

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxelweave.llm.common import kernel, materialise, slices, words
+from voxelweave.llm.common import few_files, kernel, materialise, slices, words
 from voxelweave.llm.fmindex import FMIndex
 
 WINDOW, GRAM = 50, 10
@@ -205,8 +205,9 @@ def repeated_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     runs = materialise(kernel(rows, anchor_runs(window, gram), "anchor long, doc_order long, doc_key long, first long, last long", df), "anchors", df)
     shared = runs.groupBy("anchor").agg(F.min("doc_order").alias("low"), F.max("doc_order").alias("high")).where("low < high").select("anchor")
     by_doc = runs.join(shared, "anchor").groupBy("doc_order", "doc_key").agg(F.collect_set(F.struct("anchor", "first", "last")).alias("runs"))
-    texts = rows.join(by_doc, ["doc_order", "doc_key"]).select("doc_order", "doc_key", "text", "runs").sortWithinPartitions("doc_order")
-    segments = materialise(kernel(texts, cut_segments(window), "anchor long, segment binary, doc_order long, doc_key long, first long, content binary", df), "segments", df)
+    # partitions are joined before the sort, or else a task's first row of a segment need not have its smallest document
+    texts = few_files(rows.join(by_doc, ["doc_order", "doc_key"]).select("doc_order", "doc_key", "text", "runs"), df).sortWithinPartitions("doc_order")
+    segments = materialise(kernel(texts, cut_segments(window), "anchor long, segment binary, doc_order long, doc_key long, first long, content binary"), "segments")
     contents = segments.where("content is not null").select("anchor", "segment", "doc_order", "content")
     calls = dealt(contents, chunk).repartition("anchor", "a").sortWithinPartitions("anchor", "a", "role", "segment", "doc_order")
     owners = kernel(calls, shards(window, shard_words), "segment binary, offset long, n_windows long, owner long")
