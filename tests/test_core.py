@@ -504,3 +504,18 @@ def test_whole_run_from_params(spark, tmp_path):
     run = simulation.run_params(spark, params.load_params(str(tmp_path / "param.txt")), config)
     assert math.isclose(run.time, 0.002)
     assert spark.read.parquet(str(tmp_path / "out/mesh/hydro")).count() == 60
+
+
+def test_joins_of_points_send_nothing_through_the_driver(spark):
+    """Tables of points are small as files, and Spark would broadcast them; the driver must not hold them."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    p = lineage.materialise(made(spark, scattered(300)), "few-points")
+    b = grid.bins(p, ("x", "y"), 8)
+    asked = b.where("ci < 3")
+    cells, images = voronoi.periodic_mesh(p, CONFIG)
+    adj = voronoi.adjacency(cells, images)
+    state = p.select("id", F.lit(1.0).alias("rho"), F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy"), F.lit(1.0).alias("E"))
+    faces = hydro.prepared(adj, cells, CONFIG, keep=False)
+    for df in (knn.ring_join(asked, b, ("x", "y"), 8, 1), adj, hydro.time_steps(cells, state, CONFIG), hydro.step(faces, state, 0.001, CONFIG), hydro.totals(cells, state, CONFIG)):
+        assert "SortMergeJoin" in plan(df)
+        assert "BroadcastHashJoin" not in plan(df)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxelweave.config import MAX_RING, MeshConfig
+from voxelweave.lineage import shuffled
 from voxelweave.operators import grid, voronoi
 
 log = logging.getLogger(__name__)
@@ -20,7 +21,7 @@ def write_mesh(path: str, cells: DataFrame, images: DataFrame, state: DataFrame,
     themselves. If ``cells`` has cells of images too (periodic_mesh with cut_images), faces_all has the faces of all.
     """
     spark, axes = cells.sparkSession, config.axes
-    own = cells.join(images.select(F.col("ghost_id").alias("cell_id")), "cell_id", "left_anti")
+    own = cells.join(shuffled(images.select(F.col("ghost_id").alias("cell_id"))), "cell_id", "left_anti")
     n, n_all = own.count(), cells.count()
     header = spark.range(1).select(F.lit(config.dim).alias("dimension"), F.lit(1.0).alias("extent"), F.lit(n).alias("n"), F.lit(config.k).alias("k"), F.lit(MAX_RING + 1).alias("nmax"), F.lit(0).alias("seed"), F.lit(store_edge_coords).alias("store_edge_coords"))
     header.coalesce(1).write.mode("overwrite").parquet(f"{path}/header")
@@ -48,6 +49,6 @@ def write_knn(path: str, points: DataFrame, found: DataFrame, k: int, config: Me
     spark.range(1).select(F.lit(config.dim).alias("dimension"), F.lit(n).alias("num_points"), F.lit(k).alias("k")).coalesce(1).write.mode("overwrite").parquet(f"{path}/header")
     placed.repartitionByRange("sorted_pos").sortWithinPartitions("sorted_pos").write.mode("overwrite").parquet(f"{path}/points")
     own, other = placed.select("id", "sorted_pos"), placed.select(F.col("id").alias("nb_id"), F.col("sorted_pos").alias("nb_pos"))
-    rows = found.select("id", "rank", "nb_id", "d2").join(own, "id").join(other, "nb_id").select("sorted_pos", "rank", "nb_pos", "d2")
+    rows = found.select("id", "rank", "nb_id", "d2").join(shuffled(own), "id").join(shuffled(other), "nb_id").select("sorted_pos", "rank", "nb_pos", "d2")
     rows.repartitionByRange("sorted_pos").sortWithinPartitions("sorted_pos", "rank").write.mode("overwrite").parquet(f"{path}/nearest")
     log.info("wrote the neighbours of %d points to %s", n, path)
