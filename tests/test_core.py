@@ -519,3 +519,19 @@ def test_joins_of_points_send_nothing_through_the_driver(spark):
     for df in (knn.ring_join(asked, b, ("x", "y"), 8, 1), adj, hydro.time_steps(cells, state, CONFIG), hydro.step(faces, state, 0.001, CONFIG), hydro.totals(cells, state, CONFIG)):
         assert "SortMergeJoin" in plan(df)
         assert "BroadcastHashJoin" not in plan(df)
+
+
+@pytest.mark.parametrize("dim", [2, 3])
+def test_verify_counts_as_all_pairs_do_without_making_them(spark, dim):
+    p = lineage.materialise(made(spark, scattered(150, dim) + [(900 + i, *([0.25] * dim)) for i in range(9)], dim), "to-verify")
+    good = knn.knn(p, 5, dim).select("id", "rank", "d2")
+    spoilt = good.withColumn("d2", F.when(F.col("id") % 7 == 0, F.col("d2") * 0.5).when(F.col("id") % 7 == 1, F.col("d2") + 0.01).when(F.col("id") == 2, 1e9).when((F.col("id") == 3) & (F.col("rank") == 1), F.lit(float("nan"))).otherwise(F.col("d2")))
+    spoilt = spoilt.where("id != 4 and not (id = 5 and rank = 4) and not (id = 6 and rank = 0)")
+    for found in (good, spoilt):
+        truth = knn.brute_force(p, 5, dim).select("id", "rank", F.col("d2").alias("t"))
+        both = truth.join(found, ["id", "rank"], "left")
+        want = both.agg(F.count("*"), F.count_if(F.col("d2").isNull() | (F.abs(F.col("d2") - F.col("t")) > 1e-8 * (1 + F.col("t"))))).first()
+        checked = knn.verify(found, p, 5, dim)
+        assert tuple(checked.first()) == tuple(want)
+        assert not any(word in checked._jdf.queryExecution().executedPlan().toString() for word in ("CartesianProduct", "NestedLoop"))
+    assert tuple(knn.verify(knn.knn(p.where("id < 1"), 5, dim), p.where("id < 1"), 5, dim).first()) == (0, 0)
