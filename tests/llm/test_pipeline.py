@@ -132,6 +132,40 @@ def test_sets_are_the_same_by_bits_and_by_shuffle(spark):
     assert all(jaccard.node_of(np.frombuffer(x, np.uint64)) == k for k, x in got[0].items())
 
 
+def test_near_stage_links_by_simhash(spark, monkeypatch):
+    """Pairs within the fingerprints' bits are proposed by SimHash; the stage links those at 0.8 and asks the groups of
+    shared shingles only for the rest."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for k in range(40):
+        words = [word() for _ in range(rng.randint(100, 300))]
+        near = list(words)
+        for at in rng.sample(range(len(near)), 1 + k % 4):
+            near[at] = word()
+        texts += [" ".join(words), " ".join(near)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [simhash.shingle_hashes(t, 5) for t in texts]
+    fps = [simhash.majority(simhash.shingle_hashes(t, 3)) & (2**64 - 1) for t in texts]
+    want = {(a, b) for b in range(len(texts)) for a in range(b) if (fps[a] ^ fps[b]).bit_count() <= 7 and jaccard.similar(np.unique(sets[a]), np.unique(sets[b]))}
+    alike = {(a, a + 1) for a in range(0, len(texts), 2) if jaccard.similar(np.unique(sets[a]), np.unique(sets[a + 1]))}
+    assert 10 < len(want) and want < alike
+    asked = {}
+    real = jaccard.similar_pairs
+
+    def spy(pairs, df, nodes, text_col, width, name):
+        out = real(pairs, df, nodes, text_col, width, name)
+        asked[name] = {frozenset((r["u"], r["v"])) for r in out.collect()}
+        return out
+
+    monkeypatch.setattr(jaccard, "similar_pairs", spy)
+    kept = {r["doc_id"] for r in simhash.drop_near_copies(df).collect()}
+    node = [jaccard.node_of(np.unique(s)) for s in sets]
+    assert asked["print"] == {frozenset((node[a], node[b])) for a, b in want}
+    assert asked["first"] == {frozenset((node[a], node[b])) for a, b in alike - want}
+    assert kept == set(range(len(texts))) - {b for _, b in alike}
+
+
 CLASHES = ["gone", "sha", "by_id", "rank", "taken_id", "times", "words", "copy", "held_out", "node", "label", "u", "v", "keys", "bits", "n", "fp"]
 
 

@@ -274,7 +274,8 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """The rows of df without those whose component has a smaller id; df's own columns. Rows without an id stay. Rows
-    link at an exact Jaccard similarity of 0.8 or more of their shingle sets; fingerprints have no part in it."""
+    link at a Jaccard similarity of 0.8 or more of their shingle sets: fingerprints link first, an exact check of their links
+    follows, and pairs at 0.8 that differ in more bits than fingerprints may are found exactly."""
     from voxelweave.llm import jaccard  # which imports this module
 
     (name,) = fresh(df, "gone")
