@@ -6,7 +6,9 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from voxelweave.plans import catalogue
+from voxelweave import lineage
+from voxelweave.operators import hydro, knn, prefix, voronoi
+from voxelweave.plans import catalogue, simulation
 
 DATA = "/root/testdata/sf0.001"
 #: With 150 points the image layers of these are too thin; they hold on the larger tables.
@@ -34,3 +36,27 @@ def test_query_equals_sql(spark, name):
 def test_entry_contract():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert "q06_knn_2d" in entry.queries()
+
+
+#: Queries that failed at size when Spark broadcast their points through the driver.
+AT_SIZE = [
+    "q14b_rescaled_mesh",
+]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+@pytest.mark.parametrize("name", AT_SIZE)
+def test_query_broadcasts_no_points(spark, monkeypatch, name):
+    """Of all tables that the query makes on its way, only the totals of a running sum's ranges are broadcast to a join."""
+    real, plans = lineage.materialise, []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def spy(df, *args, **kwargs):
+        plans.append(plan(df))
+        return real(df, *args, **kwargs)
+
+    for module in (catalogue, simulation, hydro, knn, prefix, voronoi):
+        monkeypatch.setattr(module, "materialise", spy)
+    plans.append(plan(catalogue.queries()[name](spark, DATA.replace("0.001", "0.01") if name in THIN else DATA)))
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line and "__range" not in line]
