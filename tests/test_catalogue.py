@@ -41,6 +41,7 @@ def test_entry_contract():
 #: Queries that failed at size when Spark broadcast their points through the driver.
 AT_SIZE = [
     "q14b_rescaled_mesh",
+    "q15_faces_2d",
     "q26_hydro_sod",
     "q19_mesh_3d_volume_sum",
 ]
