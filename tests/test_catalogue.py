@@ -42,6 +42,7 @@ def test_entry_contract():
 AT_SIZE = [
     "q14b_rescaled_mesh",
     "q15_faces_2d",
+    "q16_face_symmetry",
     "q26_hydro_sod",
     "q19_mesh_3d_volume_sum",
 ]
