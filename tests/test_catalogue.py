@@ -43,6 +43,7 @@ AT_SIZE = [
     "q14b_rescaled_mesh",
     "q15_faces_2d",
     "q16_face_symmetry",
+    "q16b_face_closure",
     "q26_hydro_sod",
     "q19_mesh_3d_volume_sum",
 ]
