@@ -44,6 +44,7 @@ AT_SIZE = [
     "q15_faces_2d",
     "q16_face_symmetry",
     "q16b_face_closure",
+    "q17_csr_offsets",
     "q26_hydro_sod",
     "q19_mesh_3d_volume_sum",
 ]
