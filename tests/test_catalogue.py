@@ -45,6 +45,7 @@ AT_SIZE = [
     "q16_face_symmetry",
     "q16b_face_closure",
     "q17_csr_offsets",
+    "q18_security_radius",
     "q26_hydro_sod",
     "q19_mesh_3d_volume_sum",
 ]
