@@ -47,6 +47,7 @@ AT_SIZE = [
     "q17_csr_offsets",
     "q18_security_radius",
     "q26_hydro_sod",
+    "q27b_uniform_fixed_point",
     "q19_mesh_3d_volume_sum",
 ]
 
