@@ -49,6 +49,7 @@ AT_SIZE = [
     "q26_hydro_sod",
     "q27b_uniform_fixed_point",
     "q19_mesh_3d_volume_sum",
+    "q25b_hydro_step_outward",
 ]
 
 
