@@ -69,3 +69,12 @@ def test_query_broadcasts_no_points(spark, monkeypatch, name):
     plans.append(plan(catalogue.queries()[name](spark, DATA.replace("0.001", "0.01") if name in THIN else DATA)))
     assert any("SortMergeJoin" in p for p in plans)
     assert not [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line and "__range" not in line]
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_both_conventions_of_normals_share_a_mesh(spark, monkeypatch):
+    real, made = voronoi.periodic_mesh, []
+    monkeypatch.setattr(voronoi, "periodic_mesh", lambda *a, **b: made.append(1) or real(*a, **b))
+    rows = catalogue.queries()["q25b_hydro_step_outward"](spark, DATA)
+    assert rows.count() == rows.where("mirrored").count() > 0
+    assert len(made) == 1
