@@ -166,6 +166,24 @@ def test_near_stage_links_by_simhash(spark, monkeypatch):
     assert kept == set(range(len(texts))) - {b for _, b in alike}
 
 
+def test_near_stage_names_rows_not_ids(spark):
+    """Ids that several rows have, or none: near copies with one id go but for one, and so do those without an id; another
+    text that has the id of a near copy stays."""
+    plain = lambda kind: " ".join(f"{kind}{i}" for i in range(100))
+    a, b, c, d = map(plain, "abcd")
+    rows = [
+        (1, a, "x"), (1, a + " z", "x"), (2, a + " y", "x"), (2, b, "x"),  # the smallest id twice, the next on another text too
+        (3, c, "y"), (3, c, "x"), (4, c, "x"),  # one text on one id
+        (None, d + " z", "x"), (None, d, "x"), (None, d, "w"), (None, a + " y", "x"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    kept = simhash.drop_near_copies(df)
+    assert kept.columns == df.columns
+    want = {(1, a, "x"), (2, b, "x"), (3, c, "x"), (None, d, "w"), (None, a + " y", "x")}
+    got = [tuple(r) for r in kept.collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 CLASHES = ["gone", "sha", "by_id", "rank", "taken_id", "times", "words", "copy", "held_out", "node", "label", "u", "v", "keys", "bits", "n", "fp"]
 
 

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxelweave.llm.common import FEW_IDS, discard, fresh, kernel, materialise, slices
@@ -273,14 +273,33 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """The rows of df without those whose component has a smaller id; df's own columns. Rows without an id stay. Rows
-    link at a Jaccard similarity of 0.8 or more of their shingle sets: fingerprints link first, an exact check of their links
-    follows, and pairs at 0.8 that differ in more bits than fingerprints may are found exactly."""
+    """One row of each component stays, that with the smallest id; df's own columns. Rows link at a Jaccard similarity of 0.8
+    or more of their shingle sets: fingerprints link first, an exact check of their links follows, and pairs at 0.8 that
+    differ in more bits than fingerprints may are found exactly.
+
+    The dropped are named by id and text, as an id may stand on several texts. Of a component's rows that share its smallest
+    id the first by text, then by the other columns stays. Rows without an id are copies of each other alone: of a
+    component's, one stays likewise.
+    """
     from voxelweave.llm import jaccard  # which imports this module
 
-    (name,) = fresh(df, "gone")
-    gone = jaccard.near_copies(df, id_col, text_col, width).where("doc_id > component_id").select(F.col("doc_id").alias(name)).distinct()
+    by_id, by_text, group, rank, text_hash = fresh(df, "by_id", "by_text", "group", "rank", "text_hash")
+    found = materialise(jaccard.members(df, id_col, text_col, width), "members", df, light=True)
+    gone = found.where("doc_id > component_id").select(F.col("doc_id").alias(by_id), F.col("th").alias(by_text)).distinct()
     gone = materialise(gone, "near-gone", df, light=True)
-    if gone.count() <= FEW_IDS:  # else df meets them in a shuffle
-        gone = F.broadcast(gone)
-    return df.join(gone, F.col(id_col).cast("long") == F.col(name), "left_anti")
+    firsts = found.where("doc_id is null or doc_id = component_id")
+    several = firsts.groupBy("label", "doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("label").alias(group), F.col("doc_id").alias(by_id))
+    tied = firsts.join(several, (F.col("label") == F.col(group)) & F.col("doc_id").eqNullSafe(F.col(by_id))).select(by_id, F.col("th").alias(by_text), group).distinct()
+    tied = materialise(tied, "near-tied", df, light=True)
+
+    def named(rows: DataFrame) -> DataFrame:  # more rows meet df in a shuffle
+        return F.broadcast(rows) if rows.count() <= FEW_IDS else rows
+
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(by_id)) & (F.col(text_hash) == F.col(by_text))
+    left = df.withColumn(text_hash, F.xxhash64(text_col)).join(named(gone), same, "left_anti")
+    if tied.isEmpty():
+        return left.drop(text_hash)
+    tied = named(tied)
+    first = Window.partitionBy(group, by_id).orderBy(text_col, *(F.col(c).cast("string") for c in df.columns if c not in (id_col, text_col)))
+    one = left.join(tied, same).withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).drop(by_id, by_text, group, rank)
+    return left.join(tied, same, "left_anti").unionByName(one).drop(text_hash)
